@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import os
 import re
 import shutil
 import tempfile
@@ -162,6 +164,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Only such tokenizers end a token wherever white space begins.
+        self.by_words = '"ByteLevel"' in json.dumps(json.loads(self.tokenizer.to_str()).get("pre_tokenizer"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
@@ -173,7 +177,7 @@ class WordEncoder:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         memo, split, whole = self.memo, [], []
         for i, text in enumerate(texts):
-            if self._exotic.search(text) or any(s in text for s in self.special):
+            if not self.by_words or self._exotic.search(text) or any(s in text for s in self.special):
                 whole.append(i)
                 split.append(())
             else:
@@ -190,14 +194,24 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+class PieceEncoder:
+    """Token ids of texts by a sentencepiece model."""
 
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self.processor.encode(texts, num_threads=1)]
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a tokenizer file; kept between tasks."""
-    import os
 
+_encoders: dict[str, WordEncoder | PieceEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder | PieceEncoder:
+    """This worker's encoder for a tokenizer file; kept between tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path) if path.endswith(".model") else WordEncoder(path)
     return _encoders[path]
