@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -147,32 +148,71 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[0::2], change[1::2]
 
 
+def _byte_symbols() -> dict[str, int]:
+    """The printable stand-ins for bytes in byte-level vocabularies: a printable Latin-1 byte is itself, the others follow from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _rank_encoding(spec: dict):
+    """A faster encoder of the same ids for a plain byte-level BPE whose merges are in the order of the ids; else None."""
+    import tiktoken
+
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    symbols, vocab = _byte_symbols(), model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    if [vocab.get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))) or not all(c in vocab for c in symbols):
+        return None
+    ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in special}
+    # fixed value: how a byte-level BPE of this kind splits a text
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
-    """Token ids of texts by a tokenizers file, each distinct white-space-led word encoded once.
+    """Token ids of texts by a tokenizers file; frequent words, each with the white space before it, are encoded once.
 
-    A byte-level or word BPE never joins the end of a word with the white space behind it, so a text's ids
-    are those of its words, each with the white space before it. Texts for which that is not certain (white space
-    other than ASCII, or a special token's string) are encoded whole.
+    A byte-level or word BPE never joins the end of a word with the white space behind it, so a text's ids are those of its
+    words, each with the white space before it. Texts for which that is not certain (white space other than
+    ASCII, or a special token's string) are encoded whole. Words of letters up to U+024F, on which all versions of
+    Unicode agree, may go through _rank_encoding.
     """
 
     _chunks = re.compile(r"\s*\S+|\s+")
     _exotic = re.compile(r"[^\S\x09-\x0d\x20]")
 
-    def __init__(self, path: str, memo_words: int = 600_000):
+    def __init__(self, path: str, memo_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
         #: Only such tokenizers end a token wherever white space begins.
-        self.by_words = '"ByteLevel"' in json.dumps(json.loads(self.tokenizer.to_str()).get("pre_tokenizer"))
+        self.by_words = '"ByteLevel"' in json.dumps(spec.get("pre_tokenizer"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rank = _rank_encoding(spec)
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        if self.rank is None:
+            return self._whole(words)
+        encode = self.rank.encode_ordinary
+        out = [array("I", encode(w)).tobytes() if max(w) < "\u0250" else b"" for w in words]
+        other = [i for i, w in enumerate(words) if max(w) >= "\u0250"]
+        for i, ids in zip(other, self._whole([words[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         memo, split, whole = self.memo, [], []
@@ -183,14 +223,14 @@ class WordEncoder:
             else:
                 split.append(self._chunks.findall(text))
         new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > self.memo_words:
-            memo.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            memo.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
+        found = dict(zip(new, self._words(new), strict=True))
+        memo.update(found)
         out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        if len(memo) > self.memo_words:  # the words that came first stay: they are mostly the frequent ones
+            for word in new:
+                del memo[word]
         for i in whole:
-            out[i] = self._ids([texts[i]])[0]
+            out[i] = self._whole([texts[i]])[0]
         return out
 
 
