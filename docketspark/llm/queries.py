@@ -8,18 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules, simhash, token_counts
+from . import mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+
+from .common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mixture(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = _documents(spark, sf_dir)
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality_classifier.scored(docs, model)
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return out.select("doc_id", (fold("doc_id", quality_classifier.FOLDS) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,7 +64,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_packing": op4_packing,
         "op6_pii": op6_pii,
         "op8_token_counts": op8_token_counts,
