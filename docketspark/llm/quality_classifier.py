@@ -57,15 +57,18 @@ class Measure:
             d.precompute_compress(level=LEVEL)
             self.with_dict.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
+        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+
     def terms(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the two normalised differences (bad - good), the ratio and its square; nan for empty texts."""
+        """Per text the two normalised differences (bad - good), the ratio without a dictionary and its square; nan for empty texts."""
         out = np.full((len(texts), TERMS), np.nan)
-        good, bad = (c.compress for c in self.with_dict)
+        good, bad, plain = (c.compress for c in (*self.with_dict, self.plain))
         for i, text in enumerate(texts):
             parts = blocks_of(text)
             if parts:
-                g, b = sum(len(good(p)) for p in parts), sum(len(bad(p)) for p in parts)
-                out[i] = (b - g) / (len(text) + PRIOR_BYTES), (b - g) / (b + g), g / len(text), (g / len(text)) ** 2
+                g, b, ratio = (sum(len(f(p)) for p in parts) for f in (good, bad, plain))
+                ratio /= len(text)
+                out[i] = (b - g) / (len(text) + PRIOR_BYTES), (b - g) / (b + g), ratio, ratio**2
         return out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+from . import ann, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts
 
 from .common import fold
 
@@ -41,6 +41,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-model log10 probabilities of every document."""
+    return lm_scoring.score_texts(_documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document: base counts and digest, and all spans."""
     found = pii.personal_data(_documents(spark, sf_dir))
@@ -50,6 +55,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20).select("query_id", "rank", "vec_id", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document; the cache starts empty and lives as long as the query's tables."""
     counted = token_counts.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
@@ -68,7 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_packing": op4_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_pii": op6_pii,
+        "op7_ann": op7_ann,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
     }
