@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int
     open_pairs = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(worth, "r long, part int, g int, query_id long")
     open_pairs = materialize(open_pairs, "ann-open")
     by = ["r", "part", "g"]
-    pairs = open_pairs.select(*by).distinct()
+    pairs = open_pairs.select("r", "part", F.col("g").alias("g")).distinct()
     left = open_pairs.join(asked.select("query_id", "q"), "query_id").select(*by, "query_id", "q")
     right = first_ordering.join(pairs, ["r", "part"]).select(*by, "vec_id", "v")
     more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda key, a, b: _scan(key, a, b, k), _FOUND)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+from . import ann, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts
 
 from .common import fold
 
@@ -73,6 +73,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and confirmed secrets of every document; secrets as start:end, comma-joined (code points, end exclusive)."""
+    found = secrets.report(_documents(spark, sf_dir))
+    places = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(places, ",").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ann": op7_ann,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
