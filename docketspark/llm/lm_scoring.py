@@ -1,18 +1,15 @@
-"""Language-model scores of texts: prediction by partial matching over bytes.
+"""Language-model scores of texts: prediction by partial matching over the bytes of running text.
 
-A text is coded word by word, each word with the space behind it, and one end sign. The longest context that has been
-seen predicts; where it fails, an escape is paid and the next shorter one takes over:
+A text is coded as its words, each with one space behind it, and one end sign. The longest context that has been seen predicts;
+where it fails, an escape is paid and the next shorter one takes over:
 
 1. adaptive: the two words before, as they occurred earlier in the same text, predict what followed them then;
-2. pretrained, from the word's beginning: whole words of the training texts, by their counts;
-3. pretrained trie: each byte in contexts of up to ORDER bytes, no further back than the word's beginning, down to order 0.
-
-Counts are updated with exclusion: a training word counts once in the trie, however often the level above has seen it. So
-all that is gathered from the corpus is its vocabulary with counts, by a grouped sum. The trie is counted from the
-distinct words, its contexts are split among tasks by their last two bytes (orders 0 and 1 are small tables of
-bytes), each distinct gram of context and byte is coded once, with escapes and symbol exclusion, and the code lengths go back
-to the words and from there to the texts by joins. A fixed number of frequent words is broadcast, so that the joins carry
-rare ones only.
+2. pretrained trie: every other byte in contexts of up to ORDER bytes of the text before it, across word ends, down to order 0.
+
+The trie is counted from all training texts: each task counts its grams of ORDER context bytes and a byte, and the counts are summed by
+gram. The contexts are split among tasks by their last two bytes (orders 0 and 1 are small tables of bytes), each distinct gram is
+coded once, with escapes and symbol exclusion, and the code lengths go back to the texts. A fixed number of frequent grams (and
+words, for the unigram score) is broadcast, so that the joins carry rare ones only.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, pieces, rows_of
+from .common import fold, materialize, rows_of
 
 ORDER = 6
 FOLDS = 10
@@ -34,6 +31,11 @@ FOLDS = 10
 HOT_WORDS = 150_000
 #: Distinct words that a task counts before it passes them on.
 PARTIAL_WORDS = 300_000
+#: The same for grams: those that are broadcast, and those that a task counts before it passes them on.
+HOT_GRAMS = 4_000_000
+PARTIAL_GRAMS = 2_000_000
+#: Bytes whose grams are worked through at a time.
+GRAM_BYTES = 1 << 21
 #: The end of a text, as a word and as a byte; no word holds it.
 END = b"\n"
 
@@ -68,7 +70,10 @@ def word_table(docs: DataFrame) -> DataFrame:
 
 
 def grams_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, index of its word) for every coded byte: up to `order` bytes of context and the byte, the byte lowest."""
+    """(gram, index of its word) for every byte of single words: up to `order` bytes of context and the byte, the byte lowest.
+
+    Contexts end at the word's beginning; the texts' own grams, across word ends, are those of running_grams.
+    """
     data = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
     at = np.arange(len(data))
     space = data == 32
@@ -88,6 +93,31 @@ def grams_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return (gram[1:] & masks[reach[1:]])[keep[1:]], owner[1:][keep[1:]]
 
 
+def running_grams(texts: list[list[bytes]], order: int = ORDER):
+    """(gram, index of its text, index of its word) of every coded byte of texts given as words: `order` bytes of context and the byte, lowest.
+
+    The context is what stands before the byte, across word ends; before a text stand NUL bytes and a space. Words are numbered
+    through all texts, a word's own end belongs to it. Yields arrays for about GRAM_BYTES at a time.
+    """
+    head = bytes(order) + b" "
+    coded = [head + b" ".join(words) for words in texts]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
+    space = data == 32
+    word = np.cumsum(space, dtype=np.int32) - space - 1
+    keep = np.ones(len(data), dtype=bool)
+    keep[((np.cumsum(sizes) - sizes)[:, None] + np.arange(order + 1)).ravel()] = False
+    for first in range(0, len(data), GRAM_BYTES):
+        begin, end = max(0, first - order), min(len(data), first + GRAM_BYTES)
+        wide = data[begin:end].astype(np.int64)
+        gram = wide.copy()
+        for k in range(1, order + 1):
+            gram[k:] |= wide[:-k] << (8 * k)
+        mine = keep[first:end]
+        yield gram[first - begin :][mine], owner[first:end][mine], word[first:end][mine]
+
+
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(keys, return_inverse=True)
     return unique, np.bincount(inverse, weights=values, minlength=len(unique))
@@ -149,82 +179,96 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order
     return log_p
 
 
-def gram_codes(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram and log_p of all grams of the words without training count; the trie is that of the words with one (word, c)."""
+def gram_table(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram and n (occurrences in training texts, may be 0) of all grams of all whole texts. docs: text (binary), learn."""
 
     def run(batches):
-        for batch in batches:
-            all_words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for first, end in pieces(map(len, all_words), 1 << 20):
-                gram, owner = grams_of(all_words[first:end], order)
-                known = c[first:end][owner] > 0
-                unique, n = _sum_by(gram, known.astype(float))
-                _, asked = _sum_by(gram, (~known).astype(float))
-                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n.astype(np.int64)), pa.array(asked.astype(np.int64))], ["gram", "n", "asked"])
-
-    counted = words.select("word", "c").mapInArrow(run, "gram long, n long, asked long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
-    counted = materialize(counted, "lm-grams")
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            return _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        def rows(table):
+            return pa.RecordBatch.from_arrays([pa.array(table[0]), pa.array(table[1].astype(np.int64))], ["gram", "n"])
+
+        for part, texts in rows_of(batches):
+            learn = np.array(part.column(1).to_pylist(), dtype=bool)
+            for gram, owner, _ in running_grams([[*t.lower().split(), END] for t in texts], order):
+                known = learn[owner]
+                unique, n = np.unique(gram[known], return_counts=True)
+                other = np.unique(gram[~known])
+                parts += [(unique, n.astype(float)), (other, np.zeros(len(other)))]
+            if sum(len(g) for g, _ in parts) > 2 * PARTIAL_GRAMS:
+                parts = [merged()]
+                if len(parts[0][0]) > PARTIAL_GRAMS:
+                    yield rows(parts[0])
+                    parts = []
+        if parts:
+            yield rows(merged())
+
+    counted = docs.select("text", "learn").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return materialize(counted, "lm-grams")
+
+
+def gram_codes(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n and log_p of all rows of gram_table(); the trie is that of the training counts."""
     low = counted.filter("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     pairs = np.zeros((256, 256))
     for r in low:
         pairs[r.pair >> 8, r.pair & 255] = r.n
-    shared = words.sparkSession.sparkContext.broadcast(pairs)
+    shared = counted.sparkSession.sparkContext.broadcast(pairs)
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
         log_p = code_lengths(pdf["gram"].to_numpy(), pdf["n"].to_numpy(float), shared.value, order)
-        asked = pdf["asked"].to_numpy() > 0
-        return pd.DataFrame({"gram": pdf["gram"].to_numpy()[asked], "log_p": log_p[asked]})
+        return pd.DataFrame({"gram": pdf["gram"], "n": pdf["n"], "log_p": log_p})
 
     suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int")
-    coded = counted.withColumn("suffix", suffix).groupBy("suffix").applyInPandas(code, "gram long, log_p double")
+    coded = counted.withColumn("suffix", suffix).groupBy("suffix").applyInPandas(code, "gram long, n long, log_p double")
     return materialize(coded, "lm-codes")
 
 
-def word_codes(words: DataFrame, order: int = ORDER) -> tuple[DataFrame, int, int]:
-    """(word, c, n, base, log_p) of every word, then the number of training tokens and of distinct ones.
+def word_codes(words: DataFrame) -> tuple[DataFrame, int]:
+    """(word, c, n, base) of every word, base its smoothed unigram log10 probability; then the number of training tokens."""
+    total, kinds = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
+    floor = total + 0.1 * (kinds + 1)
+    return words.select("word", "c", "n", F.log10((F.col("c") + 0.1) / F.lit(float(floor))).alias("base")), total
 
-    A word of the training texts has probability (c - discount) / tokens, with the discount from the numbers of words seen
-    once and twice; what that leaves is the escape to the bytes. base: the smoothed unigram log10 probability.
-    """
-    count = lambda x: F.count_if(x)
-    total, kinds, once, twice = (x or 0 for x in words.agg(F.sum("c"), count(F.col("c") > 0), count(F.col("c") == 1), count(F.col("c") == 2)).first())
-    discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
-    escape = math.log10(discount * kinds / total) if total else 0.0
 
-    def run(batches):
-        for batch in batches:
-            all_words = batch.column(0).to_pylist()
-            for first, end in pieces(map(len, all_words), 1 << 20):
-                gram, owner = grams_of(all_words[first:end], order)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first).take(pa.array(owner)), pa.array(gram)], ["word", "gram"])
-
-    new = words.filter("c = 0").select("word").mapInArrow(run, "word binary, gram long")
-    spelled = new.join(gram_codes(words, order), "gram").groupBy("word").agg(F.sum("log_p").alias("spelled"))
-    floor = total + 0.1 * (kinds + 1)
-    out = words.join(spelled, "word", "left").select(
-        "word", "c", "n",
-        F.log10((F.col("c") + 0.1) / F.lit(float(floor))).alias("base"),
-        F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / F.lit(float(max(total, 1))))).otherwise(F.col("spelled") + escape).alias("log_p"),
-    )
-    return materialize(out, "lm-word-codes"), total, kinds
+def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of the largest n, down to the class of counts with which they would be more than `limit`."""
+    frequency = F.floor(F.log2("n") * 16)
+    sizes = rows.filter("n > 0").groupBy(frequency.alias("class")).agg(F.count("*").alias("rows")).collect()  # 16 rows for each doubling of a count
+    least, used = None, 0
+    for row in sorted(sizes, key=lambda r: -r["class"]):
+        used += row["rows"]
+        if used > limit:
+            break
+        least = row["class"]
+    return rows.filter((F.col("n") > 0) & (frequency >= least) if least is not None else F.lit(False))
 
 
-def repeats_of(words: list[bytes]) -> tuple[list[bytes], int]:
-    """The words that the two words before predict, as what followed them last in this text; and how many predictions failed."""
+def repeats_at(words: list[bytes]) -> tuple[list[int], int]:
+    """Places of the words that the two words before predict, as what followed them last in this text; and how many predictions failed."""
     follow: dict[tuple[bytes, bytes], bytes] = {}
     get, hits, missed = follow.get, [], 0
-    for a, b, w in zip(words, words[1:], words[2:], strict=False):
-        key = (a, b)
+    for i, key in enumerate(zip(words, words[1:-1], strict=False), 2):
         last = get(key)
+        w = words[i]
         if last is not None:
             if last == w:
-                hits.append(w)
+                hits.append(i)
                 continue
             missed += 1
         follow[key] = w
     return hits, missed
 
 
+def repeats_of(words: list[bytes]) -> tuple[list[bytes], int]:
+    """The words at the places of repeats_at(), and how many predictions failed."""
+    places, missed = repeats_at(words)
+    return [words[i] for i in places], missed
+
+
 def adaptive_cost(hits: int, missed: int) -> float:
     """log10 probability of so many successes and failures in any order, each estimated from those before (half a count each)."""
     log = math.lgamma(hits + 0.5) + math.lgamma(missed + 0.5) - math.lgamma(hits + missed + 1) - math.log(math.pi)
@@ -240,54 +284,64 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fol
     """
     held_out = fold("doc_id", folds) == 0
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    words = word_table(source.select("text", (~held_out).alias("learn")))
-    codes, total, _ = word_codes(words, order)
-    # the most frequent words, down to the class of counts with which they would be more than HOT_WORDS
-    frequency = F.floor(F.log2("n") * 16)
-    sizes = codes.groupBy(frequency.alias("class")).agg(F.count("*").alias("words")).collect()  # 16 rows for each doubling of a count
-    least, used = None, 0
-    for row in sorted(sizes, key=lambda r: -r["class"]):
-        used += row.words
-        if used > HOT_WORDS:
-            break
-        least = row["class"]
-    hot = codes.filter(frequency >= least if least is not None else F.lit(False)).toPandas()  # HOT_WORDS rows at most
-    table = {bytes(w): (c > 0, b, p) for w, c, b, p in zip(hot["word"], hot["c"], hot["base"], hot["log_p"], strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    taught = source.select("text", (~held_out).alias("learn"))
+    words, total = word_codes(word_table(taught))
+    codes = gram_codes(gram_table(taught, order), order)
+    hot = most_frequent(words, HOT_WORDS).select("word", "c", "base").toPandas()  # HOT_WORDS rows at most
+    table = {bytes(w): (c > 0, b) for w, c, b in zip(hot["word"], hot["c"], hot["base"], strict=True)}
+    hot = most_frequent(codes, HOT_GRAMS).select("gram", "log_p").toArrow()  # HOT_GRAMS rows at most
+    grams, log_p = (hot.column(i).to_numpy() for i in range(2))
+    by_gram = np.argsort(grams)
+    shared = docs.sparkSession.sparkContext.broadcast((table, grams[by_gram], log_p[by_gram]))
 
     def run(batches):
-        known = shared.value
+        known, hot_grams, hot_codes = shared.value
         for part, texts in rows_of(batches):
-            columns: list[list] = [[] for _ in range(7)]
-            for t in texts:
-                words_ = t.lower().split()
-                words_.append(END)
-                hits, missed = repeats_of(words_)
-                predicted = Counter(hits)
-                k, b, p, rare, times, coded = 0, 0.0, adaptive_cost(len(hits), missed), [], [], []
+            columns: list[list] = [[] for _ in range(6)]
+            split = [[*t.lower().split(), END] for t in texts]
+            predicted = np.zeros(sum(map(len, split)), dtype=bool)  # of each word: the two before it gave it
+            first = 0
+            for words_ in split:
+                hits, missed = repeats_at(words_)
+                predicted[np.array(hits, dtype=np.int64) + first] = True
+                first += len(words_)
+                k, b, rare, times = 0, 0.0, [], []
                 for w, n in Counter(words_).items():
                     found = known.get(w)
                     if found is None:
                         rare.append(w)
                         times.append(n)
-                        coded.append(n - predicted[w])
                     else:
                         k += n * found[0]
                         b += n * found[1]
-                        p += (n - predicted[w]) * found[2]
-                for column, value in zip(columns, (len(words_), k, b, p, rare, times, coded), strict=True):
+                for column, value in zip(columns, (len(words_), k, b, adaptive_cost(len(hits), missed), rare, times), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
-
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "coded"]
+            score, open_grams, open_owners = np.array(columns[3]), [], []
+            for gram, owner, word in running_grams(split, order):
+                asked = ~predicted[word]
+                gram, owner = gram[asked], owner[asked]
+                unique, inverse = np.unique(gram, return_inverse=True)
+                at = np.minimum(np.searchsorted(hot_grams, unique), max(len(hot_grams) - 1, 0))
+                hit = hot_grams[at] == unique if len(hot_grams) else np.zeros(len(unique), dtype=bool)
+                if len(hot_grams):
+                    score += np.bincount(owner, weights=np.where(hit, hot_codes[at], 0.0)[inverse], minlength=len(split))
+                miss = ~hit[inverse]
+                open_grams.append(gram[miss])
+                open_owners.append(owner[miss])
+            columns[3] = score.tolist()
+            # owners come in order, so a text's open grams stand together
+            ends = np.cumsum(np.bincount(np.concatenate(open_owners), minlength=len(split)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(open_grams)))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), lists], names)
+
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "grams"]
     kind = source.schema["doc_id"].dataType.simpleString()
-    begun = source.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>, coded array<long>")
+    begun = source.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>, grams array<long>")
     begun = materialize(begun.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-    rest = begun.select("row", F.explode(F.arrays_zip("rare", "times", "coded")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times", "r.coded")
-    rest = rest.join(codes.select("word", "c", "base", "log_p"), "word").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("coded") * F.col("log_p")).alias("p")
-    )
+    rest = begun.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times")
+    rest = rest.join(words.select("word", "c", "base"), "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"))
+    bytes_ = begun.select("row", F.explode("grams").alias("gram")).join(codes.select("gram", "log_p"), "gram").groupBy("row").agg(F.sum("log_p").alias("p"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    out = begun.drop("rare", "times", "coded").join(rest, "row", "left")
+    out = begun.drop("rare", "times", "grams").join(rest, "row", "left").join(bytes_, "row", "left")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "p").alias("score"))

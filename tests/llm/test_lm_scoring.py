@@ -115,3 +115,36 @@ def test_edge_cases(spark):
     assert lm.score_texts(docs.limit(0)).count() == 0
     only_held = docs.filter("crc32(cast(string(doc_id) as binary)) % 10 = 0")
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in lm.score_texts(only_held).collect())
+
+
+def test_bytes_are_coded_in_running_text(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("ba", "co", "du", "fe") for b in ("l", "mm", "nor", "x", "qu")]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(60)] + [(100, None), (101, "a\x00b a\x00b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order, grams, counts, asked = 6, [], [], {}
+    for d, t in rows:
+        own = tokens(t)
+        text, at, spans = bytes(order) + b" " + b" ".join(own), order + 1, []
+        for w in own:
+            spans.append((at, min(at + len(w) + 1, len(text))))
+            at += len(w) + 1
+        skip, _ = lm.repeats_at(own)
+        for i, (a, b) in enumerate(spans):
+            for j in range(a, b):
+                grams.append((text[j - order : j], text[j]))
+                counts.append(int(zlib.crc32(str(d).encode()) % 10 != 0))
+                if i not in skip:
+                    asked.setdefault(d, []).append(grams[-1])
+    code = plain_ppm(grams, counts, order)
+    want = {d: lm.adaptive_cost(len(r[0]), r[1]) + sum(code(*g) for g in asked[d]) for d, t in rows for r in [lm.repeats_of(tokens(t))]}
+    for hot in (lm.HOT_GRAMS, 30, 0):
+        monkeypatch.setattr(lm, "HOT_GRAMS", hot)
+        assert {r.doc_id: r.score for r in lm.score_texts(docs).collect()} == pytest.approx(want)
+
+
+def test_the_order_of_known_words_matters(spark):
+    rows = [(i, "one small step for some person and a giant leap for others") for i in (1, 2, 3, 4, 5)] + [(6, "giant person leap one a others step and for some small")]
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame([*rows, (7, "one small step for some person and a giant leap others")], "doc_id long, text string")).collect()}
+    assert got[6].n_known == got[6].n_tokens and got[6].base_score == pytest.approx(got[7].base_score)
+    assert got[7].score > got[6].score + 3
