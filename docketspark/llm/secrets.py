@@ -38,10 +38,13 @@ CODE_PATH = "\\.env|config|settings|deploy|secret|\\.ya?ml$|\\.tf$|\\.properties
 
 _BLOCK = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s]++(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 _NAMED = f"(?i:{NAMES})[\"']?\\s{{0,3}}(?:=>|:=|[:=])\\s{{0,3}}[\"']?[^\\s\"'<>]{{8,}}+"
-_RUN = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
+_ASSIGNED = "(?<=[A-Za-z0-9_-]=)(?=[^\\s\"'<>&;,0-9]*+[0-9])[^\\s\"'<>&;,]{8,}+"
+_RUN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = f"{_BLOCK}|{_NAMED}|{_ASSIGNED}|{_RUN}"
 #: Within a candidate, what names the value and what stands between.
 _PREFIX = f"^(?i:{NAMES})[\"']?\\s{{0,3}}(?:=>|:=|[:=])\\s{{0,3}}[\"']?"
+#: Lower-case text before a value: a name of secrets, maybe with a number or the like behind it, and the assignment.
+_UNDER_NAME = f"({NAMES}|(?<![a-z])(pass|pat|sig|signature))([_-][a-z0-9]{{1,8}}){{0,2}}[\"']?\\s*(=>|:=|[:=])\\s*[\"']?$"
 
 FEATURES = (
     "length", "log_length", "digits", "upper", "lower", "hex", "other", "switches", "letter_digit", "case_switches",
@@ -57,8 +60,8 @@ def _text(column: Column | str) -> Column:
 def candidates(docs: DataFrame, text: str, keys: list[str], path: str | None = None) -> DataFrame:
     """keys, start, end (code points, end exclusive), value, before, after and path of every candidate in the whole texts.
 
-    A candidate is a private key block, a value of at least 8 characters assigned to a name such as token, or an unbroken run of at least 16
-    letters, digits and +/_- with a digit. Null and empty texts have none.
+    A candidate is a private key block, a value of at least 8 characters assigned to a name such as token, the same with a digit right behind
+    any name and =, or an unbroken run of at least 16 letters, digits and +/_- with a digit. Null and empty texts have none.
     """
     t = _text(text)
     found = docs.filter(F.col(text).rlike(CANDIDATE)).select(
@@ -66,11 +69,11 @@ def candidates(docs: DataFrame, text: str, keys: list[str], path: str | None = N
     )
     # the place of each hit: what stands before it, gap by gap
     step = F.aggregate(
-        F.arrays_zip(F.expr("slice(gaps, 1, size(hits))").alias("gap"), F.expr("slice(gaps, 2, size(hits))").alias("next"), F.col("hits").alias("hit")),
+        F.arrays_zip(F.expr("slice(gaps, 1, size(hits))").alias("gap"), F.expr("slice(gaps, 2, size(hits))").alias("next"), F.col("hits").alias("hit"), F.expr("concat(array(''), slice(hits, 1, size(hits) - 1))").alias("last")),
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,hit:string,before:string,after:string>>").alias("out")),
         lambda s, x: F.struct(
             (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("at"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(AFTER)).alias("after")))).alias("out"),
+            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("at"), x["hit"].alias("hit"), F.right(F.when(x["gap"] == "", x["last"]).otherwise(x["gap"]), F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(AFTER)).alias("after")))).alias("out"),
         ),
         lambda s: s["out"],
     )
@@ -110,7 +113,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "length": F.least(n, F.lit(400)), "log_length": F.log2(n), "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "hex": share("[0-9a-fA-F]"), "other": share("[^0-9A-Za-z]"),
         "switches": share("(?<=[0-9])[^0-9]|(?<=[^0-9])[0-9]"), "letter_digit": share("(?<=[A-Za-z])[0-9]"), "case_switches": share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "longest_letters": F.least(longest, F.lit(100)), "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)), "vowels": share("[aeiouAEIOU]"), "repeats": share("(.)(?=\\1)"),
-        "coverage": F.col("coverage"), "named": before.rlike(f"({NAMES})[\"']?\\s*(=>|:=|[:=])\\s*[\"']?$").cast("int"), "assigned": before.rlike("(=|:)\\s*[\"']?$").cast("int"), "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("int"),
+        "coverage": F.col("coverage"), "named": before.rlike(_UNDER_NAME).cast("int"), "assigned": before.rlike("(=|:)\\s*[\"']?$").cast("int"), "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("int"),
         "good_words": F.regexp_count(before, F.lit(GOOD_WORDS)), "other_words": F.regexp_count(F.concat(before, F.lit(" "), after), F.lit(OTHER_WORDS)), "own_words": F.regexp_count(F.lower(v), F.lit("example|sample|test|dummy|your|change|here|xxxx|0000|1234|abcd")),
         "known_form": known.cast("int"), "test_path": path.rlike(TEST_PATH).cast("int"), "code_path": path.rlike(CODE_PATH).cast("int"),
     }
@@ -140,8 +143,9 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     )
     name = pick("name", "token", "api_key", "secret", "password", "access_key", "auth_key", "client_secret", "TOKEN", "API-KEY", "private_key")
     bare = F.concat(pick("lead", "Authorization: Bearer ", "login with ", "credentials are "), F.lit(""))
+    line = F.concat(F.lit("\n"), pick("line", "AWS_ACCESS_KEY_ID", "token_v2", "DB_PASS", "export GITHUB_PAT", "api_key_1", "https://www.host.org/get?sig", "client_secret_id", "STRIPE_TOKEN_LIVE"), F.lit("="))
     named = F.concat(word("d"), F.lit(" "), name, pick("op", " = \"", "=", ": ", ": '", " := \"", "=\""))
-    before = F.when(pick("bare", "y", "n", "n", "n") == "y", bare).otherwise(named)
+    before = F.when(pick("bare", "y", "n", "n", "n") == "y", bare).when(pick("env", "y", "n", "n", "n") == "y", line).otherwise(named)
     other = pick(
         "kind", F.left(h, F.lit(40)), F.left(h, F.lit(32)), h, F.regexp_replace(F.left(h, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.left(digits, F.lit(16)), F.left(digits, F.lit(16)), F.left(digits, F.lit(20)),
         F.concat(phrase, F.lit("-"), year), F.concat(phrase, year, F.lit("/"), word("e")), F.concat(F.lit("DE"), F.left(digits, F.lit(20))), F.concat(phrase, F.lit("_"), F.left(digits, F.lit(3))),

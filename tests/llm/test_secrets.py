@@ -68,3 +68,18 @@ def test_no_python_in_the_plan(spark, sf_dir, model):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = secrets.redact(docs, model)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_unquoted_assignments_to_any_name(spark, model):
+    mixed = "Zq8Lw3nTf0Yc5RbK2vXh7MdJ9sPa4GeU6iQo"
+    found = ["aws_access_key_id=AKIAIOSFODNN7QWERTY", f"GITHUB_PAT=ghp_{mixed}", f"STRIPE=sk_live_{mixed[:24]}", f"token_v2={HEX}", f"db_pass={mixed[:6]}!{mixed[6:12]}", f"https://www.host.org/get?user=bob&sig={HEX}", f"my_service_token_v2={HEX}", f"BOT=xoxb-123456789012-{mixed[:24]}"]
+    harmless = ["https://www.host.org/list?order=4012888888881881", "version=river-report-1987", f"commit={HEX}", "path=docs/summer-letter-2001", "page=12345678"]
+    docs = spark.createDataFrame(_rows(*[f"first line\n{t}\nlast line" for t in found + harmless]), SCHEMA)
+    by_id = {r.doc_id: r for r in secrets.report(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    for i, line in enumerate(found):
+        start = 11 + line.rindex("=") + 1
+        assert (start, 11 + len(line)) in [(s.start, s.end) for s in by_id[i].secrets], line
+        assert texts[i] == f"first line\n{line[: line.rindex('=') + 1]}[secret]\nlast line"
+    for i, line in enumerate(harmless, len(found)):
+        assert by_id[i].n_candidates and not by_id[i].n_secrets, line
