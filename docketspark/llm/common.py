@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
 import re
-import shutil
-import tempfile
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -15,9 +12,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketspark.sources.snapshots import shared_root
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side with at most this many (narrow) rows may be broadcast; it is counted first.
@@ -25,20 +25,9 @@ BROADCAST_ROWS = 20_000
 #: Python works through a batch of rows in pieces of about this many bytes of text.
 PIECE_BYTES = 2 << 20
 
-_local_root: list[str] = []
-
-
 def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary folder in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="docketspark-"))
-        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
-    return _local_root[0]
+    return shared_root(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +37,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(written: DataFrame, *shared: Broadcast) -> DataFrame:
+    """written, a table that materialize() made; the broadcast variables that its rows needed are given back, on the driver as well."""
+    for variable in shared:
+        variable.destroy()
+    return written
+
+
+def numbered(docs: DataFrame, *names: str | None) -> tuple[DataFrame, list[str | None]]:
+    """docs with its columns called c0, c1, ... and what the named ones are called now: the one of exactly that name, else regardless of case.
+
+    So no column of the input, whatever its name, can clash with an operator's own; toDF(*docs.columns) gives the names back.
+    """
+    have = docs.columns
+    lower = [c.lower() for c in have]
+    places = [None if n is None else have.index(n) if n in have else lower.index(n.lower()) for n in names]
+    return docs.toDF(*[f"c{i}" for i in range(len(have))]), [None if p is None else f"c{p}" for p in places]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves that it has at most `limit` rows; else df, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
