@@ -2,35 +2,43 @@
 
 Only the histogram of piece lengths (one number per length up to the capacity) reaches the driver. There the configuration
 linear program (use each configuration, a multiset of lengths that fits a sequence, x times, cover every length, least
-sum of x) is solved by multiplicative weights: each round prices the lengths by how little of their demand is covered,
-a knapsack dynamic program finds the configuration of greatest price, and its use is raised. The fractional uses are
-rounded down, the lengths that are left are put in by best fit. The plan is again a small table (length, first and last
-rank, sequence), and each piece finds its place from its rank among the pieces of its length.
+sum of x) is solved by multiplicative weights. Each round prices a length by its share of a sequence times a weight that falls exponentially
+as its demand is covered; a knapsack dynamic program finds the greatest price of a configuration, overall (which makes the prices a
+bound from the dual program) and with any given length in it. For each length, longest first, configurations within a tolerance of the best
+that holds it are used, as many as the round's share of each demand allows. The tolerance widens only when nothing is within it. A use is a whole sequence at least, so that the solution needs hardly any rounding:
+what is left below a whole use is rounded down. The shortest pieces, SMALL of all tokens, stay out of the program; they and the
+residue of the rounding are put by best fit into the room that the configurations leave.
+
+The plan is again a small table (length, first and last rank, sequence), and each piece finds its place from its rank among the
+pieces of its length.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, materialize, rows_of
+from .common import encoder, materialize, numbered, rows_of
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights method, at most.
-ROUNDS = 2500
-#: A round covers at most this share of a length's demand.
-STEP = 0.1
+#: A round covers at most this share of a length's demand (one piece at least).
+STEP = 0.15
 #: How strongly a length's price rises while its demand is less covered than others'.
-TILT = 1.0
-#: What is tried in rounding down: shares of the fractional uses, and how much room a configuration may leave (in 1/2048).
-SHARES = (1.0, 0.75, 0.5)
-SLACKS = (2048, 64, 4, 0)
+TILT = 1.5
+#: A configuration is used if its price is within this share of the greatest that holds its longest length; up to WIDEST.
+TOLERANCE, WIDEST = 1e-3, 0.1
+#: The tolerance widens after a round that covers no more than this share of what was left.
+SLOW = 0.01
+#: The program ends when no more than this share of the bound is uncovered.
+GAP = 1e-3
+#: The shortest pieces with this share of all tokens are put in by best fit.
+SMALL = 0.01
 #: Rows of equal length that are ranked in one task, about.
 RANKED = 5_000
 
@@ -61,53 +69,78 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return source.mapInArrow(run, schema)
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of greatest total price within the capacity; price[l] is that of length l."""
+class Solution(NamedTuple):
+    """Uses of configurations (pairs of length and number), the bound below which no solution can be, and what is not covered."""
+
+    uses: dict[tuple[tuple[int, int], ...], int]
+    bound: float
+    left: dict[int, int]
+
+
+def best_prices(price: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest total price of a multiset of lengths within each capacity; price[l] is that of length l."""
     best = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
-        value = price[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(value.argmax())
-        best[c], last[c] = value[k], k + 1
-    chosen: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if price[last[c]] > 0:
-            chosen[int(last[c])] += 1
-        c -= int(last[c])
-    return dict(chosen)
-
-
-def fractional_uses(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their uses in an approximate solution of the configuration linear program."""
-    lengths = np.array(sorted(demand))
-    need = np.array([demand[x] for x in lengths.tolist()], dtype=float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    uses: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = covered < need
-        if not open_.any():
+        best[c] = (price[1 : c + 1] + best[c - 1 :: -1][:c]).max()
+    return best
+
+
+def _priced(first: int, price: np.ndarray, best: np.ndarray, least: float, budget: np.ndarray) -> Counter[int]:
+    """A configuration with the length `first` and a price of `least` or more within the budgets, which it lowers; empty if there is none."""
+    config, room, value = Counter({first: 1}), len(best) - 1 - first, price[first]
+    budget[first] -= 1
+    while room > 0:
+        gain = np.where(budget[1 : room + 1] >= 1, price[1 : room + 1] + best[room - 1 :: -1][:room], -1.0)
+        k = int(gain.argmax()) + 1
+        if gain[k - 1] < 0 or price[k] <= 0 or value + gain[k - 1] < least:
             break
-        # the dual price of a length is about its share of a sequence, raised while its demand is less covered than others'
-        short = 1 - covered / need
-        weight = np.where(open_, (lengths / capacity) * np.exp(TILT * (short - short[open_].max())), 0.0)
-        price = np.zeros(capacity + 1)
-        price[lengths] = weight
-        config = best_configuration(price, capacity)
-        config = {x: min(k, demand[x]) for x, k in config.items()}
-        step = min(min(STEP * need[place[x]], need[place[x]] - covered[place[x]] + 1e-9) / k for x, k in config.items())
-        key = tuple(sorted(config.items()))
-        uses[key] = uses.get(key, 0.0) + step
-        for x, k in config.items():
-            covered[place[x]] += k * step
-    return [(dict(key), x) for key, x in uses.items()]
+        config[k] += 1
+        budget[k] -= 1
+        value += price[k]
+        room -= k
+    if value >= least:
+        return config
+    for x, k in config.items():
+        budget[x] += k
+    return Counter()
+
+
+def solve(demand: dict[int, int], capacity: int, gap: float = GAP) -> Solution:
+    """An approximate solution of the configuration linear program that covers all but a share `gap` of the demand (counted in full sequences)."""
+    lengths = np.array(sorted(demand))
+    need = np.zeros(capacity + 1)
+    need[lengths] = [demand[x] for x in lengths.tolist()]
+    share = np.arange(capacity + 1) / capacity
+    bound = float(share @ need)
+    covered = np.zeros(capacity + 1)
+    uses: Counter[tuple[tuple[int, int], ...]] = Counter()
+    tolerance = TOLERANCE
+    while share @ (left := need - covered) > gap * bound and tolerance <= WIDEST:
+        short = left / np.maximum(need, 1)
+        price = np.where(left >= 1, share * np.exp(TILT * (short - short.max())), 0.0)
+        best = best_prices(price, capacity)
+        bound = max(bound, float(price @ need) / best[capacity])
+        budget = np.minimum(np.maximum(STEP * need, 1), left)
+        before = share @ covered
+        for x in lengths[::-1].tolist():
+            least = (price[x] + best[capacity - x]) * (1 - tolerance)
+            while budget[x] >= 1 and (config := _priced(x, price, best, least, budget)):
+                more = min(int(budget[y] // k) for y, k in config.items())
+                for y, k in config.items():
+                    budget[y] -= k * more
+                    covered[y] += k * (more + 1)
+                uses[tuple(sorted(config.items()))] += more + 1
+        if share @ covered - before <= SLOW * (share @ left):
+            tolerance *= 2
+    left = need - covered
+    return Solution(dict(uses), bound, {x: round(left[x]) for x in lengths.tolist() if left[x] >= 0.5})
 
 
 def best_fit(demand: dict[int, int], capacity: int, used: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -141,26 +174,20 @@ def best_fit(demand: dict[int, int], capacity: int, used: list[tuple[dict[int, i
     return [x for runs in rooms.values() for x in runs]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole numbers of uses that hold exactly the lengths of the histogram."""
-    whole = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     demand = {x: n for x, n in histogram.items() if 0 < x < capacity and n}
-    uses = sorted(fractional_uses(demand, capacity, rounds), key=lambda u: -sum(x * k for x, k in u[0].items()))
-    best: list[tuple[dict[int, int], int]] = []
-    for share, slack in product(SHARES, SLACKS):
-        left, used = dict(demand), []
-        for config, use in uses:
-            if capacity - sum(x * k for x, k in config.items()) > slack * capacity / 2048:
-                continue
-            times = min([int(share * use + 1e-6), *(left[x] // k for x, k in config.items())])
-            if times:
-                used.append((config, times))
-                for x, k in config.items():
-                    left[x] -= k * times
-        packed = best_fit({x: n for x, n in left.items() if n}, capacity, used)
-        if not best or sum(t for _, t in packed) < sum(t for _, t in best):
-            best = packed
-    return whole + best
+    spare, rest = {}, SMALL * sum(x * n for x, n in demand.items())
+    for x in sorted(demand):
+        if (held := min(demand[x], int(rest // x))) <= 0:
+            break
+        spare[x] = held
+        rest -= x * held
+    program = {x: n - spare.get(x, 0) for x, n in demand.items() if n > spare.get(x, 0)}
+    solution = solve(program, capacity) if program else Solution({}, 0.0, {})
+    rest_of = Counter(solution.left) + Counter(spare)
+    whole = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
+    return whole + best_fit(dict(rest_of), capacity, [(dict(config), times) for config, times in solution.uses.items()])
 
 
 def place_table(configurations: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -179,7 +206,7 @@ def place_table(configurations: list[tuple[dict[int, int], int]]) -> dict[int, t
     return {length: tuple(np.array(x, dtype=np.int64) for x in zip(*r, strict=True)) for length, r in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (columns doc_id, piece, length and others) with sequence_id and offset.
 
     Each sequence holds at most `capacity` tokens, offsets leave no gap. Equal rows are placed like any others. An empty
@@ -190,8 +217,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     histogram = {r.length: r.n for r in counted}
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    table = place_table(plan(histogram, capacity, rounds))
-    places = pieces.sparkSession.sparkContext.broadcast(table)  # bounded by the rounds and the capacity, not by the documents
+    table = place_table(plan(histogram, capacity))
+    places = pieces.sparkSession.sparkContext.broadcast(table)  # bounded by the program's rounds and the capacity, not by the documents
 
     salts = max(1, round((sum(histogram.values()) / RANKED) ** 0.5) * 4)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docketspark.llm import packing
@@ -62,14 +63,33 @@ def test_plan_holds_exactly_the_histogram(histogram):
 def test_linear_program_beats_best_fit_where_best_fit_wastes():
     """6 + 4 fill a sequence of 10 and so do 5 + 5 and 3 + 3 + 4; the program finds uses near the least number."""
     histogram = {6: 400, 5: 400, 4: 600, 3: 400}
-    uses = packing.fractional_uses(histogram, 10)
-    assert sum(x for _, x in uses) <= 1.1 * sum(x * n for x, n in histogram.items()) / 10
+    solution = packing.solve(histogram, 10)
+    assert sum(solution.uses.values()) <= 800 and solution.bound <= 800
     assert sum(t for _, t in packing.plan(histogram, 10)) == 800 < sum(t for _, t in packing.best_fit(histogram, 10, []))
 
 
+def test_sequences_come_from_the_program_within_its_gap(spark):
+    """Nearly all sequences are configurations of the program, whose number is near the dual's bound."""
+    pieces = packing.pieces_of(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), PATH)
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    demand = {x: n for x, n in histogram.items() if x < 2048}
+    solution = packing.solve(demand, 2048)
+    assert sum(x * n for x, n in solution.left.items()) <= packing.GAP * solution.bound * 2048
+    assert sum(solution.uses.values()) <= 1.002 * solution.bound
+    covered = Counter(solution.left)
+    for config, times in solution.uses.items():
+        assert sum(x * k for x, k in config) <= 2048
+        for x, k in config:
+            covered[x] += k * times
+    assert covered == Counter(demand)
+    made = sum(t for _, t in packing.plan(histogram)) - histogram[2048]
+    assert made <= 1.001 * solution.bound and made <= sum(t for _, t in packing.best_fit(demand, 2048, [])) + 2
+
+
 def test_edge_cases(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, None), (4, ""), (5, "word " * 9000), (6, "<|endoftext|> x  y")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, Rank int")
+    docs = docs.withColumn("a.b", F.lit(3)).withColumn("__text", F.lit(4))
     out = packing.pack_documents(docs, PATH, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(PATH)
     want = Counter((d, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [0])) for d, t in rows)
