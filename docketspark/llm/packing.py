@@ -37,8 +37,8 @@ TOLERANCE, WIDEST = 1e-3, 0.1
 SLOW = 0.01
 #: The program ends when no more than this share of the bound is uncovered.
 GAP = 1e-3
-#: The shortest pieces with this share of all tokens are put in by best fit.
-SMALL = 0.01
+#: The shortest pieces with this share of all tokens, none longer than the second share of the capacity, are put in by best fit.
+SMALL, SHORT = 0.01, 1 / 16
 #: Rows of equal length that are ranked in one task, about.
 RANKED = 5_000
 
@@ -178,7 +178,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     """Configurations with whole numbers of uses that hold exactly the lengths of the histogram."""
     demand = {x: n for x, n in histogram.items() if 0 < x < capacity and n}
     spare, rest = {}, SMALL * sum(x * n for x, n in demand.items())
-    for x in sorted(demand):
+    for x in sorted(x for x in demand if x <= SHORT * capacity):
         if (held := min(demand[x], int(rest // x))) <= 0:
             break
         spare[x] = held
