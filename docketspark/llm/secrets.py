@@ -7,6 +7,9 @@ cover, its path and the words around it. The forest is trained on labelled findi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +18,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small
+from .common import BROADCAST_ROWS, materialize, numbered, small
 
 #: Labelled findings that the forest is trained on, at most.
 TRAINING_ROWS = 20_000
@@ -27,6 +30,9 @@ SEED = 17
 BEFORE, AFTER = 64, 32
 #: A word is in the dictionary if so many documents have it.
 DICTIONARY_DOCS = 3
+#: Words that the examples' phrases are made of.
+WORDS = 12
+PLAIN_WORDS = ("river", "report", "season", "garden", "window", "budget", "market", "signal", "letter", "summer", "planet", "object")
 MARK = "[secret]"
 
 # fixed values: words that name a secret, and words that name other things of the same look
@@ -53,6 +59,12 @@ FEATURES = (
 )
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has a candidate; three cheap conditions, of which each candidate meets one, come before the pattern."""
+    cheap = text.contains("=") | text.contains(":") | text.contains("-----BEGIN") | text.rlike("[A-Za-z0-9+/_-]{16}")
+    return F.coalesce(cheap & text.rlike(CANDIDATE), F.lit(False))
+
+
 def _text(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -64,7 +76,7 @@ def candidates(docs: DataFrame, text: str, keys: list[str], path: str | None = N
     any name and =, or an unbroken run of at least 16 letters, digits and +/_- with a digit. Null and empty texts have none.
     """
     t = _text(text)
-    found = docs.filter(F.col(text).rlike(CANDIDATE)).select(
+    found = docs.filter(may_hold(F.col(text))).select(
         *keys, _text(path).alias("path") if path else F.lit("").alias("path"), F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("hits")
     )
     # the place of each hit: what stands before it, gap by gap
@@ -85,10 +97,20 @@ def candidates(docs: DataFrame, text: str, keys: list[str], path: str | None = N
     return rows.select(*keys, start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), "before", "after", "path")
 
 
-def dictionary(docs: DataFrame, text: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
-    """The corpus' words (lower case, 4 to 16 letters, standing alone) that at least min_docs documents have; counted over all documents."""
+def letter_runs(rows: DataFrame) -> DataFrame:
+    """word: the distinct runs of 4 to 16 letters in the values, in lower case."""
+    return rows.select(F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,16}"), F.lit(0))).alias("word")).distinct()
+
+
+def dictionary(docs: DataFrame, text: str = "text", min_docs: int = DICTIONARY_DOCS, only: DataFrame | None = None) -> DataFrame:
+    """The corpus' words (lower case, 4 to 16 letters, standing alone) that at least min_docs documents have; counted over all documents.
+
+    only: rows of words to which the count is confined before anything is shuffled.
+    """
     words = F.array_distinct(F.split(F.lower(_text(text)), "[\\s.,;:!?()\"'|$%&#*-]+"))
     words = docs.select(F.explode(F.filter(words, lambda w: F.length(w).between(4, 16) & w.rlike("^[a-z]+$"))).alias("word"))
+    if only is not None:
+        words = words.join(small(only), "word", "left_semi")
     return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("word")
 
 
@@ -96,7 +118,7 @@ def with_coverage(rows: DataFrame, words: DataFrame) -> DataFrame:
     """rows with `coverage`: the share of the value's characters in letter runs (4 or more) that are dictionary words."""
     values = materialize(rows.select("value").distinct().select("value", F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,16}"), F.lit(0)).alias("runs")), "secrets-values")
     runs = values.select("value", F.explode("runs").alias("word"))
-    sums = runs.join(words, "word", "left_semi").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    sums = runs.join(small(words), "word", "left_semi").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
     sums = materialize(sums, "secrets-coverage")
     return rows.join(small(sums), "value", "left").withColumn("coverage", F.coalesce(F.col("covered"), F.lit(0)) / F.length("value")).drop("covered")
 
@@ -120,49 +142,67 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.coalesce(columns[k].cast("double"), F.lit(0.0)) for k in FEATURES})
 
 
-def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Labelled findings (value, before, after, path, coverage, label) of common forms, for use where no reviewed ones are at hand.
+def example_words(found: DataFrame) -> list[str]:
+    """WORDS words of 5 to 9 letters that stand near the most candidates, for the examples' phrases; filled up with fixed ones."""
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+"))
+    counted = found.select(F.explode(F.filter(words, lambda w: F.length(w).between(5, 9))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    usual = [w for w in counted.orderBy(F.desc("n"), "word").limit(4 * WORDS).toPandas()["word"] if not re.search(f"{GOOD_WORDS}|{OTHER_WORDS}", w)]
+    return [*usual, *(w for w in PLAIN_WORDS if w not in usual)][:WORDS]
+
+
+def example_findings(spark: SparkSession, n: int = 6000, words: Sequence[str] = PLAIN_WORDS) -> DataFrame:
+    """Labelled findings (value, before, after, path, label, form) of common forms, for use where no reviewed ones are at hand.
 
     Half are secrets: digests and base-64 texts under names that secrets have, tokens of well-known forms, passwords. The others are what
-    looks similar: commit ids, checksums, UUIDs, long numbers, placeholders, paths and compound words. All follow from the row's number.
+    looks similar: commit ids, checksums, UUIDs, long numbers, placeholders, paths and phrases of the given words. A digest in plain prose
+    occurs under both labels, three times as often as no secret. All follow from the row's number.
     """
     i = F.col("id")
+    pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(options))) + 1).cast("int"))
+    number = lambda salt, below: F.pmod(F.xxhash64(F.lit(salt), i), F.lit(below)).cast("int")
     h = F.sha2(F.concat(F.lit("finding"), i.cast("string")), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(F.concat(h, F.sha1(h)))), "[+/=]", "")
-    pick = lambda salt, *options: F.element_at(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(options))) + 1).cast("int"))
-    size = (F.pmod(F.xxhash64(F.lit("size"), i), F.lit(40)) + 20).cast("int")
-    digits = F.regexp_replace(F.concat(h, F.sha1(h)), "[a-f]", "")
-    word = lambda k: pick(k, "river", "report", "season", "garden", "window", "budget", "market", "signal", "letter", "summer", "planet", "object")
-    phrase = F.concat(word("a"), pick("s1", "-", "_", "/", ""), word("b"), pick("s2", "-", "_", "/"), word("c"))
-    year = (F.pmod(F.xxhash64(F.lit("year"), i), F.lit(60)) + 1970).cast("string")
-    secret = pick(
-        "kind", F.left(h, F.lit(40)), F.left(h, F.lit(40)), F.left(h, F.lit(32)), F.upper(F.left(h, F.lit(40))), h, F.left(mixed, size), F.left(mixed, size), F.left(F.base64(F.unhex(h)), size),
-        F.concat(F.lit("AKIA"), F.upper(F.left(h, F.lit(16)))), F.concat(pick("gh", "ghp_", "gho_", "ghs_"), F.left(mixed, F.lit(36))), F.concat(F.lit("xoxb-"), F.left(digits, F.lit(12)), F.lit("-"), F.left(mixed, F.lit(24))),
-        F.concat(F.lit("sk_live_"), F.left(mixed, F.lit(24))), F.concat(F.lit("eyJ"), F.left(mixed, F.lit(40)), F.lit(".eyJ"), F.right(mixed, F.lit(20))), F.concat(F.left(mixed, F.lit(6)), pick("p", "!", "#", "%", "?"), F.right(mixed, F.lit(6))),
-        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(mixed, 6), F.lit("\n-----END RSA PRIVATE KEY-----")),
+    # each step uses the columns of the one before, so that no expression is repeated within another
+    rows = spark.range(n).select("id", h.alias("h"), (F.pmod(i, F.lit(2)) == 0).alias("good"), *[pick(k, *words).alias(f"w{k}") for k in "abcdef"])
+    rows = rows.withColumns({
+        "both": F.concat("h", F.sha1("h")), "year": (number("year", 60) + 1970).cast("string"), "size": number("size", 40) + 20,
+        "name": pick("name", "token", "api_key", "secret", "password", "access_key", "auth_key", "client_secret", "TOKEN", "API-KEY", "private_key"),
+        "phrase": F.concat("wa", pick("s1", "-", "_", "/", ""), "wb", pick("s2", "-", "_", "/"), "wc"),
+        "harmless_kind": number("kind", 15), "secret_kind": number("kind", 15), "prose": number("prose", 8),
+    })
+    rows = rows.withColumns({"mixed": F.regexp_replace(F.base64(F.unhex("both")), "[+/=]", ""), "digits": F.regexp_replace("both", "[a-f]", "")})
+    left = lambda c, k: F.left(F.col(c), F.lit(k))
+    hex40 = left("h", 40)
+    secret = (
+        ("hex", hex40), ("hex", hex40), ("hex", left("h", 32)), ("upper_hex", F.upper(hex40)), ("hex", F.col("h")), ("base62", F.left("mixed", F.col("size"))), ("base62", F.left("mixed", F.col("size"))),
+        ("base64", F.left(F.base64(F.unhex("h")), F.col("size"))), ("aws", F.concat(F.lit("AKIA"), F.upper(left("h", 16)))), ("github", F.concat(pick("gh", "ghp_", "gho_", "ghs_"), left("mixed", 36))),
+        ("slack", F.concat(F.lit("xoxb-"), left("digits", 12), F.lit("-"), left("mixed", 24))), ("stripe", F.concat(F.lit("sk_live_"), left("mixed", 24))),
+        ("jwt", F.concat(F.lit("eyJ"), left("mixed", 40), F.lit(".eyJ"), F.right("mixed", F.lit(20)))), ("password", F.concat(left("mixed", 6), pick("p", "!", "#", "%", "?"), F.right("mixed", F.lit(6)))),
+        ("key_block", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat("mixed", 6), F.lit("\n-----END RSA PRIVATE KEY-----"))),
     )
-    name = pick("name", "token", "api_key", "secret", "password", "access_key", "auth_key", "client_secret", "TOKEN", "API-KEY", "private_key")
-    bare = F.concat(pick("lead", "Authorization: Bearer ", "login with ", "credentials are "), F.lit(""))
-    line = F.concat(F.lit("\n"), pick("line", "AWS_ACCESS_KEY_ID", "token_v2", "DB_PASS", "export GITHUB_PAT", "api_key_1", "https://www.host.org/get?sig", "client_secret_id", "STRIPE_TOKEN_LIVE"), F.lit("="))
-    named = F.concat(word("d"), F.lit(" "), name, pick("op", " = \"", "=", ": ", ": '", " := \"", "=\""))
-    before = F.when(pick("bare", "y", "n", "n", "n") == "y", bare).when(pick("env", "y", "n", "n", "n") == "y", line).otherwise(named)
-    other = pick(
-        "kind", F.left(h, F.lit(40)), F.left(h, F.lit(32)), h, F.regexp_replace(F.left(h, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.left(digits, F.lit(16)), F.left(digits, F.lit(16)), F.left(digits, F.lit(20)),
-        F.concat(phrase, F.lit("-"), year), F.concat(phrase, year, F.lit("/"), word("e")), F.concat(F.lit("DE"), F.left(digits, F.lit(20))), F.concat(phrase, F.lit("_"), F.left(digits, F.lit(3))),
-        F.concat(pick("ph", "your_", "my_", "example_", "dummy_"), phrase, F.lit("_here1")), F.concat(F.repeat(pick("x", "x", "X", "0", "a"), 16), F.left(digits, F.lit(4))), F.lit("0123456789abcdef0123456789abcdef"), F.concat(F.lit("EXAMPLE"), F.lit("KEY"), F.left(digits, F.lit(8))),
+    harmless = (
+        ("digest", hex40), ("digest", left("h", 32)), ("digest", F.col("h")), ("uuid", F.regexp_replace(left("h", 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")), ("number", left("digits", 16)), ("number", left("digits", 16)), ("number", left("digits", 20)),
+        ("phrase", F.concat("phrase", F.lit("-"), "year")), ("path", F.concat("phrase", "year", F.lit("/"), "we")), ("account", F.concat(F.lit("DE"), left("digits", 20))), ("phrase", F.concat("phrase", F.lit("_"), left("digits", 3))),
+        ("placeholder", F.concat(pick("ph", "your_", "my_", "example_", "dummy_"), "phrase", F.lit("_here1"))), ("filler", F.concat(F.repeat(pick("x", "x", "X", "0", "a"), F.lit(16)), left("digits", 4))), ("filler", F.lit("0123456789abcdef0123456789abcdef")), ("placeholder", F.concat(F.lit("EXAMPLEKEY"), left("digits", 8))),
     )
-    plain = pick("at", "commit ", "sha256:", "checksum ", "md5 ", "id=", "uuid: ", "revision ", "order ", "card ", "see http://www.host.org/", "digest = \"", "version ", "example: ")
-    prose = F.concat(word("d"), F.lit(" "), word("f"), pick("end", " ", ", ", ". ", " | ", "\n", "!! ", "$$$ "))
-    # a digest in plain prose stays open to either reading, so it is no example; a placeholder, number or phrase is harmless under any name
-    harmless = ~other.rlike("^[0-9a-f-]{32,}$")
-    other_before = F.when(harmless & (pick("under", "y", "n", "n") == "y"), named).when(harmless & (pick("pr", "y", "n", "n") != "y"), prose).otherwise(plain)
-    good = F.pmod(i, F.lit(2)) == 0
-    value = F.when(good, secret).otherwise(other)
-    quote = F.when(F.when(good, before).otherwise(other_before).rlike("\"$"), "\"").otherwise(F.when(F.when(good, before).otherwise(other_before).rlike("'$"), "'").otherwise(""))
-    path = pick("path", "", "", "src0", "src7", "app/settings.py", "deploy/values.yaml", "lib/main.py", F.when(good, F.lit(".env")).otherwise(F.lit("docs/readme.md")), F.when(good, F.lit("config/prod.yml")).otherwise(F.lit("tests/fixtures/data.json")))
-    letters = F.regexp_extract_all(F.lower(value), F.lit("river|report|season|garden|window|budget|market|signal|letter|summer|planet|object|your|example|here|dummy"), F.lit(0))
-    covered = F.aggregate(F.transform(letters, F.length), F.lit(0), lambda a, b: a + b) / F.length(value)
-    return spark.range(n).select(value.alias("value"), F.when(good, before).otherwise(other_before).alias("before"), F.concat(quote, pick("tail", " ", " and ", ".", "\n", "")).alias("after"), path.alias("path"), covered.alias("coverage"), good.cast("int").alias("label"))
+    chosen = lambda forms, kind, part: F.coalesce(*[F.when(F.col(kind) == k, F.lit(f[0]) if part == 0 else f[1]) for k, f in enumerate(forms)])
+    in_prose = (F.col("prose") == 0) & F.when(F.col("good"), number("one", 3) == 0).otherwise(F.lit(True))
+    rows = rows.withColumns({
+        "form": F.when(in_prose, F.lit("hex_in_prose")).when(F.col("good"), chosen(secret, "secret_kind", 0)).otherwise(chosen(harmless, "harmless_kind", 0)),
+        "value": F.when(in_prose, hex40).when(F.col("good"), chosen(secret, "secret_kind", 1)).otherwise(chosen(harmless, "harmless_kind", 1)),
+        "named": F.concat("wd", F.lit(" "), "name", pick("op", ' = "', "=", ": ", ": '", ' := "', '="')),
+        "bare": pick("lead", "Authorization: Bearer ", "login with ", "credentials are "),
+        "line": F.concat(F.lit("\n"), pick("line", "AWS_ACCESS_KEY_ID", "token_v2", "DB_PASS", "export GITHUB_PAT", "api_key_1", "https://www.host.org/get?sig", "client_secret_id", "STRIPE_TOKEN_LIVE"), F.lit("=")),
+        "plain": pick("at", "commit ", "sha256:", "checksum ", "md5 ", "id=", "uuid: ", "revision ", "order ", "card ", "see http://www.host.org/", 'digest = "', "version ", "example: "),
+        "running": F.concat("wd", F.lit(" "), "wf", pick("end", " ", ", ", ". ", " | ", "\n", "!! ", "$$$ ")),
+    })
+    # a placeholder, number or phrase is harmless under any name
+    open_ = ~F.col("form").isin("digest", "uuid", "hex_in_prose")
+    good_before = F.when(number("bare", 5) == 0, F.col("bare")).when(number("env", 5) == 0, F.col("line")).otherwise(F.col("named"))
+    other_before = F.when(open_ & (number("under", 4) == 0), F.col("named")).when(open_ & (number("pr", 4) > 0), F.col("running")).otherwise(F.col("plain"))
+    rows = rows.withColumn("before", F.when(F.col("form") == "hex_in_prose", F.col("running")).when(F.col("good"), good_before).otherwise(other_before))
+    quote = F.regexp_extract("before", "[\"']$", 0)
+    paths = F.when(number("typical", 4) > 0, pick("path", "", "", "src0", "src7", "app/settings.py", "deploy/values.yaml", "lib/main.py")).when(F.col("good"), pick("gp", ".env", "config/prod.yml")).otherwise(pick("op", "docs/readme.md", "tests/fixtures/data.json"))
+    return rows.select("value", "before", F.concat(quote, pick("tail", " ", " and ", ".", "\n", "")).alias("after"), paths.alias("path"), F.col("good").cast("int").alias("label"), "form")
 
 
 def train(findings: DataFrame, rows: int = TRAINING_ROWS, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
@@ -172,7 +212,7 @@ def train(findings: DataFrame, rows: int = TRAINING_ROWS, trees: int = TREES, de
     """
     used = findings.filter("value is not null and label in (0, 1)")
     used = used.orderBy(F.xxhash64("value", "before", "after", "path", "label"), "value", "label").limit(rows)
-    used = with_features(used).select(*FEATURES, F.col("label").cast("double").alias("label"))
+    used = materialize(with_features(used).select(*FEATURES, F.col("label").cast("double").alias("label")), "secrets-training")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(used)
 
@@ -181,14 +221,20 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, text: str = "text"
     """Candidates with verdicts: doc_id, text_hash (xxhash64 of the text), start, end, value, before, after, path, score and secret.
 
     Each distinct (doc_id, text) counts once, so repeated rows share their candidates. A null doc_id stays null. Without a model one is
-    trained on example_findings. A document without candidates, a null or empty text and an empty table give no rows.
+    trained on example_findings with phrases of the corpus' own words, whose coverage comes from the same dictionary. A document without candidates, a null or empty text and an empty table give no rows.
     """
+    docs, (text, doc_id, path) = numbered(docs, text, doc_id, path)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(path) if path else F.lit("")).cast("string").alias("path"))
     found = candidates(rows, "text", ["doc_id", "text_hash"], "path")
     found = found.groupBy("doc_id", "text_hash", "start", "end").agg(*[F.min(c).alias(c) for c in ("value", "before", "after", "path")])
     found = materialize(found, "secrets-candidates")
-    rows = materialize(with_coverage(found, dictionary(rows)), "secrets-covered")
-    model = model or train(example_findings(docs.sparkSession))
+    runs = letter_runs(found)
+    if model is None:
+        examples = materialize(example_findings(docs.sparkSession, words=example_words(found)), "secrets-examples")
+        runs = runs.unionByName(letter_runs(examples)).distinct()
+    words = materialize(dictionary(rows, only=materialize(runs, "secrets-runs")), "secrets-words")
+    rows = materialize(with_coverage(found, words), "secrets-covered")
+    model = model or train(with_coverage(examples, words))
     scored = model.transform(with_features(rows)).withColumn("score", vector_to_array("probability")[1])
     scored = scored.select("doc_id", "text_hash", "start", "end", "value", "before", "after", "path", "score", (F.col("score") >= threshold).alias("secret"))
     return materialize(scored, "secrets-scored")
@@ -204,6 +250,7 @@ def spans(found: DataFrame) -> DataFrame:
 def report(docs: DataFrame, model: PipelineModel | None = None, text: str = "text", doc_id: str = "doc_id", path: str | None = "source") -> DataFrame:
     """Per row of docs: doc_id, n_candidates, n_secrets (long) and secrets (array of start, end, score; empty if none)."""
     found = spans(scan(docs, model, text, doc_id, path)).withColumnRenamed("doc_id", "found_id").withColumnRenamed("text_hash", "found_hash")
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     joined = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
@@ -213,20 +260,21 @@ def report(docs: DataFrame, model: PipelineModel | None = None, text: str = "tex
 def redact(docs: DataFrame, model: PipelineModel | None = None, text: str = "text", doc_id: str = "doc_id", path: str | None = "source", mark: str = MARK) -> DataFrame:
     """docs with every confirmed secret in the text replaced by `mark`; all rows and columns stay, other texts unchanged.
 
-    Only documents with secrets are joined with their spans; the others pass by without a shuffle.
+    Few spans are broadcast; of many, only documents with candidates are joined with them, the others pass by without a shuffle.
     """
-    key, spans_, known, known_hash = fresh(docs, "text_hash", "spans", "known_id", "known_hash")
+    names = docs.columns
     found = spans(scan(docs, model, text, doc_id, path).filter("secret"))
-    found = materialize(found.select(F.col("doc_id").alias(known), F.col("text_hash").alias(known_hash), F.col("secrets").alias(spans_)), "secrets-spans")
-    maybe = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
-    plain = docs.filter(~maybe)
-    rows = docs.filter(maybe).withColumn(key, F.xxhash64(text))
-    rows = rows.join(small(found), F.col(doc_id).eqNullSafe(F.col(known)) & (F.col(key) == F.col(known_hash)), "left")
+    found = materialize(found.select(F.col("doc_id").alias("known"), F.col("text_hash").alias("known_hash"), F.col("secrets").alias("spans")), "secrets-spans")
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
+    columns = docs.columns
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = (docs if few else docs.filter(may_hold(F.col(text)))).withColumn("hash", F.xxhash64(text))
+    rows = rows.join(F.broadcast(found) if few else found, F.col(doc_id).eqNullSafe(F.col("known")) & (F.col("hash") == F.col("known_hash")), "left")
     cut = F.aggregate(
-        F.col(spans_),
+        "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out")),
         lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))),
     )
-    clean = rows.withColumn(text, F.when(F.col(spans_).isNotNull(), cut).otherwise(F.col(text)))
-    return plain.unionByName(clean.select(*docs.columns))
+    clean = rows.withColumn(text, F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(text))).select(*columns)
+    return (clean if few else docs.filter(~may_hold(F.col(text))).unionByName(clean)).toDF(*names)

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 from docketspark.llm import secrets
 
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, value string, Score int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, value string, Score int, `a.b` int, __text int"
+
+
+def examples(spark, n):
+    words = spark.createDataFrame([(w,) for w in secrets.PLAIN_WORDS], "word string")
+    return secrets.with_coverage(secrets.materialize(secrets.example_findings(spark, n), "test-examples"), words)
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return secrets.train(secrets.example_findings(spark, 2000))
+    return secrets.train(examples(spark, 2000))
 
 
 def _rows(*texts):
-    return [(i, t, "en", "src0", None if t is None else len(t), "kept", 1) for i, t in enumerate(texts)]
+    return [(i, t, "en", "src0", None if t is None else len(t), "kept", 1, 2, 3) for i, t in enumerate(texts)]
 
 
 def test_places_equal_a_plain_search(spark, sf_dir):
@@ -32,7 +37,7 @@ def test_places_equal_a_plain_search(spark, sf_dir):
 def test_edge_cases_and_redaction(spark, model):
     long = "word " * 60_000 + f'token = "{HEX}" end'
     texts = [None, "", f'a ß𝄞 token = "{HEX}" b', "card 4012888888881881 of", long, f'token = "{HEX}"', f'x token = "{HEX}" y token = "{HEX}"', "a" * 200_000]
-    docs = spark.createDataFrame(_rows(*texts) + _rows(*texts)[2:3] + [(None, texts[5], None, None, None, None, None)], SCHEMA)
+    docs = spark.createDataFrame(_rows(*texts) + _rows(*texts)[2:3] + [(None, texts[5], None, None, None, None, None, None, None)], SCHEMA)
     found = secrets.report(docs, model)
     assert found.count() == docs.count()
     by_id = {r.doc_id: r for r in found.collect()}
@@ -50,18 +55,43 @@ def test_edge_cases_and_redaction(spark, model):
     assert secrets.report(empty, model).count() == 0 and secrets.redact(empty, model).count() == 0
 
 
-def test_held_out_accuracy(spark, model):
-    held = secrets.example_findings(spark, 3000).filter("value is not null").withColumn("i", F.monotonically_increasing_id())
-    fresh = spark.range(5000, 5001)
-    assert fresh.count() == 1
+def test_held_out_rows(spark, model):
+    """Rows that the forest has not seen; a digest in prose without any name stays open to either reading."""
+    held = examples(spark, 6000).filter("form <> 'hex_in_prose'").join(examples(spark, 2000).select("value"), "value", "left_anti")
     scored = model.transform(secrets.with_features(held))
     right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert right > 0.97
 
 
+def test_held_out_forms(spark):
+    """Whole forms that the forest was not trained on: recall of the secrets, precision by the share of harmless ones left alone."""
+    rows = secrets.materialize(examples(spark, 4000), "test-forms")
+    held = ("github", "base64", "password", "uuid", "path", "account")
+    model = secrets.train(rows.filter(~F.col("form").isin(*held)))
+    scored = model.transform(secrets.with_features(rows.filter(F.col("form").isin(*held))))
+    found = {(r.form, r.label): r.share for r in scored.groupBy("form", "label").agg(F.avg("prediction").alias("share")).collect()}
+    assert min(found["github", 1], found["base64", 1]) > 0.95 and found["password", 1] > 0.8
+    assert max(found["uuid", 0], found["path", 0], found["account", 0]) < 0.1
+
+
+def test_a_digest_in_prose_is_left_alone(spark, model):
+    docs = spark.createDataFrame(_rows(f"the first river {HEX} ran over", f'the token = "{HEX}" ran over'), SCHEMA)
+    assert {r.doc_id: (r.n_candidates, r.n_secrets) for r in secrets.report(docs, model).collect()} == {0: (1, 0), 1: (1, 1)}
+
+
 def test_dictionary_counts_documents(spark):
     docs = spark.createDataFrame([(1, "alpha beta, alpha"), (2, "ALPHA 12gamma"), (3, "alpha (beta)"), (4, None)], "doc_id long, text string")
     assert {r.word for r in secrets.dictionary(docs, min_docs=3).collect()} == {"alpha"}
+    only = spark.createDataFrame([("alpha",), ("gamma",)], "word string")
+    assert {r.word for r in secrets.dictionary(docs, min_docs=1, only=only).collect()} == {"alpha"}
+
+
+def test_words_of_the_corpus_are_learnt(spark):
+    text = "the silver morning brought another letter to harbour street with id=ab12cd34ef56ab78 on the silver morning"
+    docs = spark.createDataFrame(_rows(*[text] * 5, None, ""), SCHEMA)
+    found = secrets.candidates(docs, "text", ["doc_id"])
+    assert {"harbour", "morning", "silver", "street"} <= set(secrets.example_words(found)) and len(secrets.example_words(found)) == secrets.WORDS
+    assert secrets.report(docs).count() == 7
 
 
 def test_no_python_in_the_plan(spark, sf_dir, model):
