@@ -7,7 +7,7 @@ where it fails, an escape is paid and the next shorter one takes over:
 2. pretrained trie: every other byte in contexts of up to ORDER bytes of the text before it, across word ends, down to order 0.
 
 The trie is counted from all training texts: each task counts its grams of ORDER context bytes and a byte, and the counts are summed by
-gram. The contexts are split among tasks by their last two bytes (orders 0 and 1 are small tables of bytes), each distinct gram is
+gram. The contexts are split among tasks by their last three bytes (orders 0 to 2 are small tables of bytes), each distinct gram is
 coded once, with escapes and symbol exclusion, and the code lengths go back to the texts. A fixed number of frequent grams (and
 words, for the unigram score) is broadcast, so that the joins carry rare ones only.
 """
@@ -16,26 +16,30 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, rows_of
+from .common import fold, materialize, mix64, numbered, released, rows_of
 
-ORDER = 6
+ORDER = 5
+#: Orders up to this one are tables of all contexts, on every executor: 2^24 numbers at most, some 100,000 in UTF-8 text.
+LOW = 2
 FOLDS = 10
 #: Words that are broadcast, the most frequent ones; all others are joined.
 HOT_WORDS = 150_000
 #: Distinct words that a task counts before it passes them on.
 PARTIAL_WORDS = 300_000
 #: The same for grams: those that are broadcast, and those that a task counts before it passes them on.
-HOT_GRAMS = 4_000_000
+HOT_GRAMS = 2_000_000
 PARTIAL_GRAMS = 2_000_000
 #: Bytes whose grams are worked through at a time.
 GRAM_BYTES = 1 << 21
+#: Grams that are coded at a time, about: whole contexts of LOW + 1 bytes.
+CODED_ROWS = 400_000
 #: The end of a text, as a word and as a byte; no word holds it.
 END = b"\n"
 
@@ -69,30 +73,6 @@ def word_table(docs: DataFrame) -> DataFrame:
     return materialize(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
 
 
-def grams_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, index of its word) for every byte of single words: up to `order` bytes of context and the byte, the byte lowest.
-
-    Contexts end at the word's beginning; the texts' own grams, across word ends, are those of running_grams.
-    """
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
-    at = np.arange(len(data))
-    space = data == 32
-    before = np.maximum.accumulate(np.where(space, at, 0))
-    reach = np.empty(len(data), dtype=np.int64)
-    reach[1:] = np.minimum(at[1:] - before[:-1], order)
-    gram = np.zeros(len(data), dtype=np.int64)
-    for k in range(order, -1, -1):
-        gram[k:] |= data[: len(data) - k].astype(np.int64) << (8 * k)
-    masks = np.array([(1 << (8 * (k + 1))) - 1 for k in range(order + 1)], dtype=np.int64)
-    owner = np.cumsum(space) - 1
-    owner[space] -= 1  # a word's own end
-    ends = np.fromiter((w == END for w in words), bool, len(words))
-    keep = np.ones(len(data), dtype=bool)
-    keep[0] = False
-    keep[space & ends[np.maximum(owner, 0)]] = False
-    return (gram[1:] & masks[reach[1:]])[keep[1:]], owner[1:][keep[1:]]
-
-
 def running_grams(texts: list[list[bytes]], order: int = ORDER):
     """(gram, index of its text, index of its word) of every coded byte of texts given as words: `order` bytes of context and the byte, lowest.
 
@@ -102,20 +82,20 @@ def running_grams(texts: list[list[bytes]], order: int = ORDER):
     head = bytes(order) + b" "
     coded = [head + b" ".join(words) for words in texts]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+    data = np.frombuffer(bytes(8) + b"".join(coded), dtype=np.uint8)
+    # the eight bytes up to each place as one number, the last one lowest
+    ending = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))[1:]
+    data = data[8:]
     owner = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
     space = data == 32
     word = np.cumsum(space, dtype=np.int32) - space - 1
     keep = np.ones(len(data), dtype=bool)
     keep[((np.cumsum(sizes) - sizes)[:, None] + np.arange(order + 1)).ravel()] = False
+    mask = np.uint64((1 << (8 * (order + 1))) - 1)
     for first in range(0, len(data), GRAM_BYTES):
-        begin, end = max(0, first - order), min(len(data), first + GRAM_BYTES)
-        wide = data[begin:end].astype(np.int64)
-        gram = wide.copy()
-        for k in range(1, order + 1):
-            gram[k:] |= wide[:-k] << (8 * k)
-        mine = keep[first:end]
-        yield gram[first - begin :][mine], owner[first:end][mine], word[first:end][mine]
+        here = slice(first, first + GRAM_BYTES)
+        mine = keep[here]
+        yield (ending[here].astype(np.uint64) & mask).view(np.int64)[mine], owner[here][mine], word[here][mine]
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,40 +113,44 @@ def _look_up(table: tuple[np.ndarray, ...], keys: np.ndarray) -> list[np.ndarray
     return [np.where(hit, v[i], 0.0) for v in values]
 
 
-def code_lengths(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of each gram's byte in its context. counts: of the grams in training; pairs: 256 x 256 counts of order 1.
+def _suffixes(grams: np.ndarray, j: int) -> np.ndarray:
+    """The grams cut to j context bytes."""
+    return grams & ((1 << (8 * (j + 1))) - 1)
+
+
+def _level(gram: np.ndarray, count: np.ndarray) -> tuple[tuple, tuple]:
+    """Of the grams of one order: (gram, count) of those that occur, and (context, occurrences, distinct bytes)."""
+    gram, count = gram[count > 0], count[count > 0]
+    context, n = _sum_by(gram >> 8, count) if len(gram) else (gram, count)
+    return (gram, count), (context, n, np.bincount(np.searchsorted(context, gram >> 8), minlength=len(context)).astype(float))
+
 
-    grams must hold all grams that share their last two context bytes. From the longest context seen in training downwards, a
+def low_levels(gram: np.ndarray, count: np.ndarray, order: int = LOW) -> list[tuple[tuple, tuple]]:
+    """The levels of the orders 0 to `order` from the sorted grams of the highest and their counts in training."""
+    return [_level(*_sum_by(_suffixes(gram, j), count)) for j in range(order)] + [_level(gram, count)]
+
+
+def code_lengths(grams: np.ndarray, counts: np.ndarray, low: list[tuple[tuple, tuple]], order: int = ORDER) -> np.ndarray:
+    """log10 probability of each gram's byte in its context. counts: of the grams in training; low: the levels of the low orders.
+
+    grams must hold all grams that share as many last context bytes as low has levels. From the longest context seen in training downwards, a
     byte seen there is coded by its count less a half; else half the number of distinct bytes is the weight of the
     escape, and the bytes seen so far are excluded below. Contexts that offer no new byte cost nothing.
     """
-    levels: list[tuple[tuple, tuple]] = []  # of each order: (gram, count) and (context, n, d) tables
-    for j in range(order + 1):
-        if j >= 2:
-            sums = _sum_by(grams & ((1 << (8 * (j + 1))) - 1), counts)
-        elif j == 1:
-            sums = (np.arange(65536), pairs.ravel())
-        else:
-            sums = (np.arange(256), pairs.sum(axis=0))
-        gram, count = (x[sums[1] > 0] for x in sums)
-        context, n = _sum_by(gram >> 8, count) if len(gram) else (gram, count)
-        d = np.bincount(np.searchsorted(context, gram >> 8), minlength=len(context)).astype(float)
-        levels.append(((gram, count), (context, n, d)))
-
-    def at(j: int) -> np.ndarray:
-        return grams & ((1 << (8 * (j + 1))) - 1)
-
+    levels = low[: order + 1] + [_level(*_sum_by(_suffixes(grams, j), counts)) for j in range(len(low), order + 1)]
     log_p = np.zeros(len(grams))
     open_ = np.ones(len(grams), dtype=bool)
     for j in range(order, -1, -1):
-        (c,) = _look_up(levels[j][0], at(j))
-        n, d = _look_up(levels[j][1], at(j) >> 8)
+        at = _suffixes(grams, j)
+        (c,) = _look_up(levels[j][0], at)
+        n, d = _look_up(levels[j][1], at >> 8)
         if j < order:  # bytes that the next longer context has seen are excluded
             (longer, _), (context, _, longer_d) = levels[j + 1]
-            (short,) = _look_up(levels[j][0], longer & ((1 << (8 * (j + 1))) - 1))
+            (short,) = _look_up(levels[j][0], _suffixes(longer, j))
             gone = _sum_by(longer >> 8, short) if len(longer) else (longer, short)
-            (gone_n,) = _look_up(gone, at(j + 1) >> 8)
-            (gone_d,) = _look_up((context, longer_d), at(j + 1) >> 8)
+            above = _suffixes(grams, j + 1) >> 8
+            (gone_n,) = _look_up(gone, above)
+            (gone_d,) = _look_up((context, longer_d), above)
             n, d = n - gone_n, d - gone_d
         usable = open_ & (d > 0)
         hit = usable & (c > 0)
@@ -212,19 +196,35 @@ def gram_table(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def gram_codes(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, n and log_p of all rows of gram_table(); the trie is that of the training counts."""
-    low = counted.filter("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    pairs = np.zeros((256, 256))
-    for r in low:
-        pairs[r.pair >> 8, r.pair & 255] = r.n
-    shared = counted.sparkSession.sparkContext.broadcast(pairs)
+    low_order = min(LOW, order)
+    cut = F.col("gram").bitwiseAND((1 << (8 * (low_order + 1))) - 1)
+    sums = counted.filter("n > 0").groupBy(cut.alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()
+    low = low_levels(sums.column(0).to_numpy(), sums.column(1).to_numpy().astype(float), low_order)
+    shared = counted.sparkSession.sparkContext.broadcast(low)
 
-    def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        log_p = code_lengths(pdf["gram"].to_numpy(), pdf["n"].to_numpy(float), shared.value, order)
-        return pd.DataFrame({"gram": pdf["gram"], "n": pdf["n"], "log_p": log_p})
-
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int")
-    coded = counted.withColumn("suffix", suffix).groupBy("suffix").applyInPandas(code, "gram long, n long, log_p double")
-    return materialize(coded, "lm-codes")
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def coded(rows: pa.Table):
+            grams, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            for batch in pa.table([rows.column(1), rows.column(2), pa.array(code_lengths(grams, n.astype(float), shared.value, order))], ["gram", "n", "log_p"]).combine_chunks().to_batches():
+                yield batch
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CODED_ROWS:
+                rows = pa.Table.from_batches(held)
+                suffix = rows.column(0).to_numpy()
+                whole = int(np.searchsorted(suffix, suffix[-1]))  # the last context may go on in the next batch
+                if whole:
+                    yield from coded(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+        if held:
+            yield from coded(pa.Table.from_batches(held))
+
+    suffix = F.shiftright("gram", 8).bitwiseAND((1 << (8 * (low_order + 1))) - 1)
+    dealt = counted.select(suffix.alias("suffix"), "gram", "n").repartition("suffix").sortWithinPartitions("suffix")
+    return released(materialize(dealt.mapInArrow(run, "gram long, n long, log_p double"), "lm-codes"), shared)
 
 
 def word_codes(words: DataFrame) -> tuple[DataFrame, int]:
@@ -247,26 +247,64 @@ def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
     return rows.filter((F.col("n") > 0) & (frequency >= least) if least is not None else F.lit(False))
 
 
-def repeats_at(words: list[bytes]) -> tuple[list[int], int]:
-    """Places of the words that the two words before predict, as what followed them last in this text; and how many predictions failed."""
-    follow: dict[tuple[bytes, bytes], bytes] = {}
-    get, hits, missed = follow.get, [], 0
-    for i, key in enumerate(zip(words, words[1:-1], strict=False), 2):
-        last = get(key)
-        w = words[i]
-        if last is not None:
-            if last == w:
-                hits.append(i)
-                continue
-            missed += 1
-        follow[key] = w
-    return hits, missed
+def repeats(number: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of some texts, whether the two words before predict it as what followed them last in the same text; and each text's predictions that held and failed.
 
-
-def repeats_of(words: list[bytes]) -> tuple[list[bytes], int]:
-    """The words at the places of repeats_at(), and how many predictions failed."""
-    places, missed = repeats_at(words)
-    return [words[i] for i in places], missed
+    number: the texts' words as numbers, one text behind the other; sizes: words of each text.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(owner[2:] == owner[:-2]) + 2 if len(number) > 2 else np.zeros(0, np.int64)
+    pair = number[at - 2].astype(np.uint64) << np.uint64(32) | number[at - 1].astype(np.uint64)
+    key = mix64(pair) ^ mix64(owner[at].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    now, last = at[order[1:]][same], at[order[:-1]][same]
+    right = number[now] == number[last]
+    predicted = np.zeros(len(number), dtype=bool)
+    predicted[now[right]] = True
+    count = lambda places: np.bincount(owner[places], minlength=len(sizes))
+    return predicted, count(now[right]), count(now[~right])
+
+
+class GramTable:
+    """Open addressing of grams and values in two arrays of a power of two."""
+
+    def __init__(self, slots: np.ndarray, values: np.ndarray):
+        self.slots, self.values, self.mask = slots, values, np.uint64(len(slots) - 1)
+
+    @classmethod
+    def of(cls, grams: np.ndarray, values: np.ndarray) -> GramTable:
+        size = 1 << max(10, (2 * len(grams)).bit_length())
+        table = cls(np.full(size, -1, dtype=np.int64), np.zeros(size))
+        todo, at = np.arange(len(grams)), table._place(grams)
+        while len(todo):
+            free = table.slots[at] == -1
+            table.slots[at[free]] = grams[todo[free]]
+            placed = table.slots[at] == grams[todo]
+            table.values[at[placed]] = values[todo[placed]]
+            todo, at = todo[~placed], (at[~placed] + 1) & int(table.mask)
+        return table
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return (mix64(grams.view(np.uint64)) & self.mask).view(np.int64)
+
+    def get(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each gram is in the table, and its value (0 if not)."""
+        at = self._place(grams)
+        slot = self.slots[at]
+        hit = slot == grams
+        values = np.where(hit, self.values[at], 0.0)
+        todo = np.flatnonzero(~hit & (slot != -1))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & int(self.mask)
+            slot = self.slots[at]
+            found = slot == grams[todo]
+            hit[todo[found]] = True
+            values[todo[found]] = self.values[at[found]]
+            more = ~found & (slot != -1)
+            todo, at = todo[more], at[more]
+        return hit, values
 
 
 def adaptive_cost(hits: int, missed: int) -> float:
@@ -282,6 +320,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fol
     and one end, so that null and empty texts have one token. base_score is the smoothed unigram log10 probability,
     score that of the byte model. Repeated rows count and are scored each; with no training text the byte model is uniform.
     """
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
     held_out = fold("doc_id", folds) == 0
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     taught = source.select("text", (~held_out).alias("learn"))
@@ -290,55 +329,48 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fol
     hot = most_frequent(words, HOT_WORDS).select("word", "c", "base").toPandas()  # HOT_WORDS rows at most
     table = {bytes(w): (c > 0, b) for w, c, b in zip(hot["word"], hot["c"], hot["base"], strict=True)}
     hot = most_frequent(codes, HOT_GRAMS).select("gram", "log_p").toArrow()  # HOT_GRAMS rows at most
-    grams, log_p = (hot.column(i).to_numpy() for i in range(2))
-    by_gram = np.argsort(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((table, grams[by_gram], log_p[by_gram]))
+    grams = GramTable.of(*(hot.column(i).to_numpy() for i in range(2)))
+    shared = docs.sparkSession.sparkContext.broadcast((table, grams.slots, grams.values))
+    del hot, table, grams
 
     def run(batches):
-        known, hot_grams, hot_codes = shared.value
+        known, hot_grams = shared.value[0], GramTable(*shared.value[1:])
         for part, texts in rows_of(batches):
-            columns: list[list] = [[] for _ in range(6)]
             split = [[*t.lower().split(), END] for t in texts]
-            predicted = np.zeros(sum(map(len, split)), dtype=bool)  # of each word: the two before it gave it
-            first = 0
-            for words_ in split:
-                hits, missed = repeats_at(words_)
-                predicted[np.array(hits, dtype=np.int64) + first] = True
-                first += len(words_)
-                k, b, rare, times = 0, 0.0, [], []
-                for w, n in Counter(words_).items():
-                    found = known.get(w)
-                    if found is None:
-                        rare.append(w)
-                        times.append(n)
-                    else:
-                        k += n * found[0]
-                        b += n * found[1]
-                for column, value in zip(columns, (len(words_), k, b, adaptive_cost(len(hits), missed), rare, times), strict=True):
-                    column.append(value)
-            score, open_grams, open_owners = np.array(columns[3]), [], []
-            for gram, owner, word in running_grams(split, order):
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            numbers: dict[bytes, int] = {}
+            number = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            owner = np.repeat(np.arange(len(split)), sizes)
+            found = [known.get(w) for w in numbers]
+            rare = np.fromiter((f is None for f in found), bool, len(found))
+            k, b = (np.fromiter((f[i] if f else 0 for f in found), float, len(found)) for i in (0, 1))
+            per_text = lambda x: np.bincount(owner, weights=x[number], minlength=len(split))
+            n_known, base = per_text(k).astype(np.int64), per_text(b)
+            entry, times = np.unique((owner * len(found) + number)[rare[number]], return_counts=True)  # a text's rare words, once each
+            rare_ends = np.concatenate([[0], np.cumsum(np.bincount(entry // max(len(found), 1), minlength=len(split)))]).astype(np.int32)
+            spelt = list(numbers)
+            rare_words = pa.array([spelt[i] for i in (entry % max(len(found), 1)).tolist()], pa.binary())
+
+            predicted, held, failed = repeats(number, sizes)
+            score = np.array([adaptive_cost(h, f) for h, f in zip(held.tolist(), failed.tolist(), strict=True)])
+            open_grams, open_owners = [], []
+            for gram, text_, word in running_grams(split, order):
                 asked = ~predicted[word]
-                gram, owner = gram[asked], owner[asked]
-                unique, inverse = np.unique(gram, return_inverse=True)
-                at = np.minimum(np.searchsorted(hot_grams, unique), max(len(hot_grams) - 1, 0))
-                hit = hot_grams[at] == unique if len(hot_grams) else np.zeros(len(unique), dtype=bool)
-                if len(hot_grams):
-                    score += np.bincount(owner, weights=np.where(hit, hot_codes[at], 0.0)[inverse], minlength=len(split))
-                miss = ~hit[inverse]
-                open_grams.append(gram[miss])
-                open_owners.append(owner[miss])
-            columns[3] = score.tolist()
+                gram, text_ = gram[asked], text_[asked]
+                hit, codes_ = hot_grams.get(gram)
+                score += np.bincount(text_, weights=codes_, minlength=len(split))
+                open_grams.append(gram[~hit])
+                open_owners.append(text_[~hit])
             # owners come in order, so a text's open grams stand together
-            ends = np.cumsum(np.bincount(np.concatenate(open_owners), minlength=len(split)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(open_grams)))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), lists], names)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(open_owners), minlength=len(split)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays
+            columns = [pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), lists(pa.array(rare_ends), rare_words), lists(pa.array(rare_ends), pa.array(times)), lists(pa.array(ends), pa.array(np.concatenate(open_grams)))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "grams"]
     kind = source.schema["doc_id"].dataType.simpleString()
     begun = source.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>, grams array<long>")
-    begun = materialize(begun.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    begun = released(materialize(begun.withColumn("row", F.monotonically_increasing_id()), "lm-texts"), shared)
     rest = begun.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times")
     rest = rest.join(words.select("word", "c", "base"), "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"))
     bytes_ = begun.select("row", F.explode("grams").alias("gram")).join(codes.select("gram", "log_p"), "gram").groupBy("row").agg(F.sum("log_p").alias("p"))
