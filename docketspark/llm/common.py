@@ -101,6 +101,23 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[t
             yield part, [empty if v is None else v for v in values]
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of sorted batches, cut only where the first `keys` columns change; so no more than a run and a batch are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        changes = [np.flatnonzero(c[1:] != c[:-1]) for c in (table.column(i).to_numpy() for i in range(keys))]
+        last = max((int(c[-1]) + 1 for c in changes if len(c)), default=0)
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

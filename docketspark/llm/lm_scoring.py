@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, mix64, numbered, released, rows_of
+from .common import fold, materialize, mix64, numbered, released, rows_of, whole_runs
 
 ORDER = 5
 #: Orders up to this one are tables of all contexts, on every executor: 2^24 numbers at most, some 100,000 in UTF-8 text.
@@ -203,24 +203,9 @@ def gram_codes(counted: DataFrame, order: int = ORDER) -> DataFrame:
     shared = counted.sparkSession.sparkContext.broadcast(low)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def coded(rows: pa.Table):
-            grams, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-            for batch in pa.table([rows.column(1), rows.column(2), pa.array(code_lengths(grams, n.astype(float), shared.value, order))], ["gram", "n", "log_p"]).combine_chunks().to_batches():
-                yield batch
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CODED_ROWS:
-                rows = pa.Table.from_batches(held)
-                suffix = rows.column(0).to_numpy()
-                whole = int(np.searchsorted(suffix, suffix[-1]))  # the last context may go on in the next batch
-                if whole:
-                    yield from coded(rows.slice(0, whole))
-                held = rows.slice(whole).to_batches()
-        if held:
-            yield from coded(pa.Table.from_batches(held))
+        for rows in whole_runs(batches, 1, CODED_ROWS):
+            codes = code_lengths(rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(float), shared.value, order)
+            yield from pa.table([rows.column(1), rows.column(2), pa.array(codes)], ["gram", "n", "log_p"]).to_batches()
 
     suffix = F.shiftright("gram", 8).bitwiseAND((1 << (8 * (low_order + 1))) - 1)
     dealt = counted.select(suffix.alias("suffix"), "gram", "n").repartition("suffix").sortWithinPartitions("suffix")

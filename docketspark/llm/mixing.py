@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialize, small
+from .common import WORD, materialize, numbered, small
 
 #: The budget in percent of all words, the copies of a document that may be taken, and the weights in the sources' order.
 BUDGET_PERCENT = 150
@@ -110,6 +110,7 @@ def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     documents without words are not taken. A null source is a source of its own. The order depends on the ids and
     texts alone, so that reruns agree; an empty table gives no rows.
     """
+    docs, (text, doc_id, source) = numbered(docs, text, doc_id, source)
     key = _key(F.col("doc_id"), F.xxhash64("text"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     rows = materialize(rows.select("doc_id", "source", words_of("text").alias("size"), key.alias("key")), "mixing-sizes")
@@ -120,11 +121,15 @@ def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **shares) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each time that a document is taken. Nothing but the cuts is joined to the texts."""
-    size, key, cut, t, again = fresh(docs, "size", "key", "cut", "t", "again")
-    sized = docs.withColumns({size: words_of(text), key: _key(F.col(doc_id), F.xxhash64(text))})
-    sizes = materialize(sized.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(key).alias("key")), "mixing-sizes")
-    ends = small(cuts(sizes, **shares).select(F.col("source").alias(t), F.col("cut").alias(cut)))
-    keyed = docs.withColumn(key, _key(F.col(doc_id), F.xxhash64(text))).join(ends, F.col(source).eqNullSafe(F.col(t)))
-    times = F.when(F.length(F.regexp_extract(text, f"({WORD})", 1)) > 0, _taken(F.col(key), F.col(cut))).otherwise(0)
-    return keyed.withColumn(again, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    """The mix itself: the columns of docs, a row for each time that a document is taken. Nothing but the cuts is joined to the texts.
+
+    Nulls, empty texts, repeated rows and an empty table are as in mixture().
+    """
+    names = docs.columns
+    docs, (text, doc_id, source) = numbered(docs, text, doc_id, source)
+    columns, key = docs.columns, _key(F.col(doc_id), F.xxhash64(text))
+    sizes = materialize(docs.select(F.col(source).alias("source"), words_of(text).alias("size"), key.alias("key")), "mixing-sizes")
+    ends = small(cuts(sizes, **shares).select(F.col("source").alias("t"), "cut"))
+    keyed = docs.withColumn("key", key).join(ends, F.col(source).eqNullSafe(F.col("t")))
+    times = F.when(F.length(F.regexp_extract(text, f"({WORD})", 1)) > 0, _taken(F.col("key"), F.col("cut"))).otherwise(0)
+    return keyed.withColumn("again", F.explode(F.array_repeat(F.lit(1), times))).select(*columns).toDF(*names)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import numbered, rows_of
 
 THRESHOLD = 0.5
 #: Characters before and behind a span in which context words count.
@@ -125,14 +125,17 @@ def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     fields = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_()), ("text", pa.string())]))
     names = [f.name for f in fields.value_type]
 
+    kept = list(keep)
+    docs, (text, *columns) = numbered(docs, text, *kept)
+
     def run(batches):
-        for part, texts in rows_of(batches, "__text"):
+        for part, texts in rows_of(batches):
             found = pa.array([[dict(zip(names, s, strict=True)) for s in find_spans(t)] for t in texts], fields)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), found], [*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), found], [*columns, "spans"])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, spans array<struct<kind:string,start:int,end:int,score:double,base:boolean,text:string>>")
+    source = docs.select(*columns, F.col(text).alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{schema}, spans array<struct<kind:string,start:int,end:int,score:double,base:boolean,text:string>>").toDF(*kept, "spans")
 
 
 def joined(spans: Column) -> Column:

@@ -1,8 +1,8 @@
 """Quality scores by compression: how much better a text compresses with a dictionary of good texts than with one of bad.
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts. A text is cut into blocks, each is
+Two zstandard dictionaries are trained on a bounded sample of whole labelled texts. A text is cut into blocks, each is
 compressed on its own with either dictionary, and the difference of the total sizes, normalised by the text's size and by
-the compressed size, goes with the compression ratio through a logistic curve fitted on other labelled texts of the sample. Only the sample reaches the driver.
+the compressed size, goes through a logistic curve fitted on other labelled texts of the sample. Only the sample reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,20 +12,21 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, rows_of
+from .common import fold, materialize, numbered, rows_of
 
-#: Labelled rows of each class that are read at most, chosen by a hash of the id; half build the dictionaries, half fit the curve.
+#: Labelled texts of each class that are read at most, in the order of a hash of the id; half train the dictionaries, half fit the curve.
 SAMPLE_ROWS = 3000
-#: Of a sampled text so many blocks, spread evenly, are taken at most.
-SAMPLE_BLOCKS = 48
-DICTIONARY_BYTES = 256 << 10
+#: They end with the text that brings their bytes to this number.
+SAMPLE_BYTES = 16 << 20
+#: A dictionary holds an eighth of the bytes it is trained on, within these bounds; fewer bytes than 8 times the lower one are repeated.
+DICTIONARY_BYTES = (1 << 10, 256 << 10)
 BLOCK = 512
 #: Added to a text's size, so that a few bytes say little about a very short text.
-PRIOR_BYTES = 256
-TERMS = 4
+PRIOR_BYTES = 64
+TERMS = 2
 LEVEL = 3
 FOLDS = 5
 THRESHOLD = 0.3
@@ -57,18 +58,15 @@ class Measure:
             d.precompute_compress(level=LEVEL)
             self.with_dict.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-
     def terms(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the two normalised differences (bad - good), the ratio without a dictionary and its square; nan for empty texts."""
+        """Per text the two normalised differences (bad - good); nan for empty texts."""
         out = np.full((len(texts), TERMS), np.nan)
-        good, bad, plain = (c.compress for c in (*self.with_dict, self.plain))
+        good, bad = (c.compress for c in self.with_dict)
         for i, text in enumerate(texts):
             parts = blocks_of(text)
             if parts:
-                g, b, ratio = (sum(len(f(p)) for p in parts) for f in (good, bad, plain))
-                ratio /= len(text)
-                out[i] = (b - g) / (len(text) + PRIOR_BYTES), (b - g) / (b + g), ratio, ratio**2
+                g, b = (sum(len(f(p)) for p in parts) for f in (good, bad))
+                out[i] = (b - g) / (len(text) + PRIOR_BYTES), (b - g) / (b + g)
         return out
 
 
@@ -88,29 +86,34 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled texts (labels: doc_id and a 0/1 label) outside the held-out fold.
 
-    At most sample_rows documents per class are read, those with the smallest hash of their id. Ids with both labels and null
-    labels or ids are left out. If a class has no text, every score is the share of label 1 in the sample (0.5 if none).
+    At most sample_rows documents per class are read, those with the smallest hash of their id, each whole. Ids with both labels and null
+    labels or ids are left out; of rows with the same id the smallest text counts. If a class has no text, every score is the share of
+    label 1 in the sample (0.5 if none).
     """
-    known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)").filter(fold("i", FOLDS) != 0)
+    docs, (text, doc_id_) = numbered(docs, text, doc_id)
+    labels, (label, label_id) = numbered(labels, label, doc_id)
+    known = labels.select(F.col(label_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)").filter(fold("i", FOLDS) != 0)
     known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("i", "y", F.xxhash64("i", F.lit(7)).alias("h"))
     chosen = known.filter("y = 0").orderBy("h", "i").limit(sample_rows).unionByName(known.filter("y = 1").orderBy("h", "i").limit(sample_rows))
     chosen = F.broadcast(chosen)  # 2 x sample_rows rows at most
-    # a text reaches the driver only as far as the sample uses it
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    n = F.ceil(F.octet_length(body) / BLOCK).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(SAMPLE_BLOCKS)) - 1), lambda k: F.when(n > SAMPLE_BLOCKS, F.floor(k * (n - 1) / (SAMPLE_BLOCKS - 1))).otherwise(k).cast("int"))
-    parts = F.when(n > 0, F.transform(at, lambda k: F.substring(body, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
-    rows = docs.select(F.col(doc_id).alias("i"), parts.alias("parts")).join(chosen, "i").dropDuplicates(["i"]).orderBy("h", "i").collect()
+    sample = docs.select(F.col(doc_id_).alias("i"), body.alias("text")).join(chosen, "i").groupBy("i", "y", "h").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "quality-sample")
+    # of each class, the texts up to the bound of bytes; 2 x sample_rows rows in all
+    before = Window.partitionBy("y").orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sample.select("i", "y", "h", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("before"))
+    used = sizes.filter(F.col("before") < SAMPLE_BYTES).select("i")
+    rows = sample.join(F.broadcast(used), "i").orderBy("h", "i").collect()
     texts = {0: [], 1: []}
     for r in rows:
-        texts[r.y].append([bytes(p) for p in r.parts])
+        texts[r.y].append(bytes(r.text))
     if not texts[0] or not texts[1]:
         share = float(np.mean([r.y for r in rows])) if rows else 0.5
         share = min(max(share, 0.01), 0.99)
         return Model(b"", b"", *((0.0,) * TERMS,) * 3, (1.0,) * TERMS, (float(np.log(share / (1 - share))), *(0.0,) * TERMS))
-    dictionaries = {y: _dictionary([p for parts in own[::2] for p in parts]) for y, own in texts.items()}
+    dictionaries = {y: _dictionary(own[::2]) for y, own in texts.items()}
     measure = Measure(dictionaries[1], dictionaries[0])
-    held = [(b"".join(parts), y) for y, own in texts.items() for parts in (own[1::2] or own)]
+    held = [(t, y) for y, own in texts.items() for t in (own[1::2] or own)]
     x = measure.terms([t for t, _ in held])
     filled = ~np.isnan(x[:, 0])
     x, y = x[filled], np.array([y for _, y in held], dtype=float)[filled]
@@ -121,12 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return Model(dictionaries[1], dictionaries[0], *ranges, _curve((x - mean) / spread, y))
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; of too few samples their plain content, which zstandard takes as well."""
-    samples = [s for s in samples if s]
-    if sum(map(len, samples)) > 8 * DICTIONARY_BYTES and len(samples) >= 64:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-    return b"".join(samples)[-DICTIONARY_BYTES:] or b" " * 8
+def _dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary trained on the texts' blocks."""
+    samples = [p for t in texts for p in blocks_of(t)] or [b" "]
+    least, most = DICTIONARY_BYTES
+    size = sum(map(len, samples))
+    samples *= -(-8 * least // size)
+    return zstandard.train_dictionary(min(max(size // 8, least), most), samples, level=LEVEL).as_bytes()
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
@@ -134,18 +138,27 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
     Null counts as empty; empty texts stand at the means of the sample's terms. Repeated rows stay.
     """
-    holder = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    holder = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    kept = list(keep)
+    docs, (text, *columns) = numbered(docs, text, *kept)
 
     def run(batches):
         m = holder.value
         measure = Measure(m.good, m.bad) if m.good else None
-        for part, texts in rows_of(batches, "__text"):
+        for part, texts in rows_of(batches):
             x = measure.terms(texts) if measure else np.full((len(texts), TERMS), np.nan)
             x = np.clip(x, m.low, m.high)  # the curve says nothing beyond the sample, e.g. on copies of the dictionaries' texts
             x = np.nan_to_num((x - m.mean) / m.spread)  # an empty text stands at the means
             score = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ np.array(m.weights[1:]), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(score)], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(score)], [*columns, "score"])
+
+    source = docs.select(*columns, F.col(text).cast("binary").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{schema}, score double").toDF(*kept, out)
+
 
-    source = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, `{out}` double")
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `threshold` or more."""
+    names = docs.columns
+    docs, (text,) = numbered(docs, text)
+    return scored(docs, model, text, tuple(docs.columns)).filter(F.col("score") >= threshold).drop("score").toDF(*names)

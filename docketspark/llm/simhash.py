@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, rows_of
+from .common import materialize, numbered, rows_of, small, whole_runs
 
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-#: Members of a crowded key that one task compares with those apart.
+#: Members of a key that are compared with each other at a time; the pairs of such parts are dealt over tasks.
 CHUNK = 2048
 
 
@@ -62,14 +62,16 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     than a shingle has is one shingle.
     """
 
+    kept = list(keep)
+    docs, (text, *columns) = numbered(docs, text, *kept)
+
     def run(batches):
-        for part, texts in rows_of(batches, "__text"):
-            columns = [part.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(fingerprint_bytes(texts, shingle, seed).view(np.int64))], [*keep, out])
+        for part, texts in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(fingerprint_bytes(texts, shingle, seed).view(np.int64))], [*columns, "fp"])
 
-    source = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, `{out}` long")
+    source = docs.select(*columns, F.col(text).cast("binary").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{schema}, fp long").toDF(*kept, out)
 
 
 def block_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
@@ -130,25 +132,29 @@ def close_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     star = members.filter(core & (F.col("fp") != F.col("center"))).select(F.col("fp").alias("a"), F.col("center").alias("b"))
 
     crowd = members.groupBy("t", "key").agg(F.count_if(core).alias("n_core"), F.count_if(~core).alias("n_apart")).filter("n_apart > 0")
-    chunks = F.ceil(F.col("n_core") / CHUNK).cast("int")
-    own_chunk = F.array(F.pmod(F.xxhash64("fp"), chunks).cast("int"))
-    open_keys = members.join(crowd, ["t", "key"]).withColumn("chunk", F.explode(F.when(core, own_chunk).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    tasks = open_keys.select("t", "key", "chunk", "fp", core.alias("core"))
+    # each part of those apart meets each part of the core, and each other part of those apart
+    parts = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("fp"), parts(c)).cast("int")
+    upto = lambda c: F.when(parts(c) > 0, F.sequence(F.lit(0), parts(c) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    with_core = F.transform(upto("n_core"), lambda c: tile(c, own("n_apart")))
+    with_apart = F.transform(upto("n_apart"), lambda a: tile(-1 - F.least(a, own("n_apart")), F.greatest(a, own("n_apart"))))
+    tiles = F.when(core, F.transform(upto("n_apart"), lambda a: tile(own("n_core"), a))).otherwise(F.concat(with_core, with_apart))
+    tasks = members.join(crowd, ["t", "key"]).withColumn("tile", F.explode(tiles)).select("t", "key", "tile.x", "tile.y", "fp", core.alias("core"))
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches), schema=batch_schema)
-        if table.num_rows:
-            t, key, chunk = (table.column(i).to_numpy() for i in range(3))
-            fp, inner = table.column(3).to_numpy().view(np.uint64), table.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        for rows in whole_runs(batches, 4, 16 * CHUNK):
+            by = [rows.column(i).to_numpy() for i in range(4)]
+            fp, inner = rows.column(4).to_numpy().view(np.uint64), rows.column(5).to_numpy().astype(bool)
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in by], axis=0)) + 1
             links: list[tuple[int, int]] = []
-            for first, end in zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True):
+            for first, end in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)], strict=True):
                 links += _close_in_key(fp[first:end], inner[first:end], distance)
             found = np.array(sorted(set(links)), dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    batch_schema = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("chunk", pa.int32()), ("fp", pa.int64()), ("core", pa.bool_())])
-    more = tasks.repartition("t", "key", "chunk").sortWithinPartitions("t", "key", "chunk").mapInArrow(run, "a long, b long")
+    by = ["t", "key", "x", "y"]
+    more = tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
     return materialize(star.unionByName(more).distinct(), "simhash-links")
 
 
@@ -183,7 +189,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     Null and empty texts have fingerprint 0 and are one group. A null doc_id gets its group's component_id (null if the
     group has no other id); repeated rows stay. An empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle), "simhash-rows")
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
+    rows = materialize(fingerprints(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "simhash-rows")
     return _with_components(rows, distance)
 
 
@@ -194,23 +201,24 @@ def _with_components(rows: DataFrame, distance: int) -> DataFrame:
     rooted = materialize(rooted, "simhash-rooted")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", *[c for c in rows.columns if c not in ("doc_id", "fp")])
+    return rows.join(small(by_fp), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without near duplicates: of each group the one with the smallest doc_id stays (nulls last).
 
     All columns come back unchanged. Rows with the same doc_id are told apart by their fingerprint; of rows
     that agree in both, one stays.
     """
-    mark, fp, same_id = fresh(docs, "mark", "fp", "same_id")
-    rows = materialize(fingerprints(docs, keep=("doc_id",), shingle=shingle).groupBy("doc_id", "fp").agg(F.count("*").alias("copies")), "simhash-rows")
-    groups = materialize(_with_components(rows, distance), "simhash-groups")
+    names = docs.columns
+    docs, (text, doc_id) = numbered(docs, text, doc_id)
+    columns = docs.columns
+    rows = fingerprints(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id")
+    rows = materialize(rows.groupBy("doc_id", "fp").agg(F.count("*").alias("copies")), "simhash-rows")
+    groups = materialize(_with_components(rows, distance).join(rows.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "copies"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))), "simhash-groups")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "copies")
     stay = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(order).alias("keep"))
-    stay = materialize(stay.select("keep.doc_id", "keep.fp", "keep.copies"), "simhash-kept")
+    stay = materialize(stay.select(F.col("keep.doc_id").alias("same_id"), F.col("keep.fp").alias("same_fp"), "keep.copies"), "simhash-kept")
     many = bool(stay.filter("copies > 1").limit(1).count())
-    stay = stay.select(F.col("doc_id").alias(same_id), F.col("fp").alias(fp))
-    marked = fingerprints(docs, keep=tuple(docs.columns), shingle=shingle, out=mark)
-    out = marked.join(stay, F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(mark) == F.col(fp)))
-    return (out.dropDuplicates(["doc_id", mark]) if many else out).select(*docs.columns)
+    out = fingerprints(docs, text, tuple(columns), shingle, out="mark").join(stay, F.col(doc_id).eqNullSafe(F.col("same_id")) & (F.col("mark") == F.col("same_fp")))
+    return (out.dropDuplicates([doc_id, "mark"]) if many else out).select(*columns).toDF(*names)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, fresh, rows_of, work_root
+from .common import encoder, numbered, rows_of, work_root
 
 CACHE = "digest binary, version string, n_tokens long"
 MAX_TOKENS = 2048
@@ -51,10 +51,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     """
     spark = docs.sparkSession
     path, version = cache or new_cache(spark), tokenizer_version(tokenizer)
+    names = docs.columns
+    docs, (text,) = numbered(docs, text)
     content = F.coalesce(F.col(text), F.lit(""))
     if collapse:
         content = F.trim(F.regexp_replace(content, r"[\x20\x09-\x0D]+", " "))
-    digest, body, n_tokens = fresh(docs, "digest", "body", "counted")
     by_digest = F.unhex(F.sha2(content, 256))
 
     stored = _stored(spark, path, version)
@@ -69,7 +70,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     counted = misses.mapInArrow(run, "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").option("compression", "zstd").parquet(path)
 
-    counts = _stored(spark, path, version).select(F.col("digest").alias(digest), F.col("n_tokens").alias(n_tokens))
-    kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")]
-    rows = docs.select(*kept, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), by_digest.alias(body))
-    return rows.join(counts, F.col(body) == F.col(digest)).select(*kept, "n_bytes", F.col(n_tokens).alias("n_tokens"))
+    counts = _stored(spark, path, version)
+    kept = [(c, n) for c, n in zip(docs.columns, names, strict=True) if n.lower() not in ("n_bytes", "n_tokens")]
+    rows = docs.select(*[c for c, _ in kept], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), by_digest.alias("own"))
+    out = rows.join(counts, F.col("own") == F.col("digest")).select(*[c for c, _ in kept], "n_bytes", "n_tokens")
+    return out.toDF(*[n for _, n in kept], "n_bytes", "n_tokens")
