@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketspark.schema import CANCELLED, LOW_SUPPLY_MAX, MAX_TOKENS
+from docketspark.schema import CANCELLED, LOW_SUPPLY_MAX, MAX_TOKENS, QUOTE_MARKS, WHITE_SPACE
 
 c = F.col
 
@@ -150,13 +150,13 @@ def unwrap_json(text: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Lower case without white space and punctuation, for comparing quotes."""
-    return F.lower(F.regexp_replace(text, r"[\s.,;:!?()\[\]\"'`~·-]+", ""))
+    """Lower case without white space and the punctuation of QUOTE_MARKS, for comparing quotes."""
+    return F.lower(F.regexp_replace(text, f"[{WHITE_SPACE}{QUOTE_MARKS}]", ""))
 
 
 def null_if_blank_number(text: Column) -> Column:
     """Number of a text; null if missing, blank or no number."""
-    return F.try_cast(F.nullif(F.trim(text), F.lit("")), "double") if hasattr(F, "try_cast") else F.nullif(F.trim(text), F.lit("")).try_cast("double")
+    return F.nullif(F.trim(text), F.lit("")).try_cast("double")
 
 
 def truthy(x: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions import exprs as e
+from docketspark.schema import PERSON, ROLES, WHITE_SPACE
 
 # fixed values: phrases that only say that something is absent
 ABSENT_END = r"(미제공|명시되지\s*않음|원문에\s*없음|정보\s*없음|미확인|미상|알\s*수\s*없음)[.\s]*$"
@@ -118,8 +120,11 @@ def drop_echoes(items: Column, prompt: Column, least: int = 8) -> Column:
 
 
 def subject_anonymised(text: Column) -> Column:
-    """A follow-up's subject without the company or person before its first colon."""
-    return F.when(text.rlike(r"^[^:]{1,30}:\s"), F.regexp_replace(text, r"^[^:]{1,30}:\s*", "")).otherwise(text)
+    """A follow-up whose subject (up to 24 characters before a colon) is no role: the subject becomes a general label. Other texts stay."""
+    pattern = r"\A([^:：]{1,24})[:：][" + WHITE_SPACE + r"]*([^\n\r\x{2028}\x{2029}]+)\z"
+    head, rest = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    role = reduce(lambda x, y: x | y, [F.contains(head, F.lit(r)) for r in ROLES])
+    return F.when((rest != "") & ~role, F.concat(F.lit(f"{PERSON}: "), rest)).otherwise(text)
 
 
 def headings_filled(rows: DataFrame, key: str, heading: str, body: str, headings: tuple[str, ...], missing: str = "-") -> DataFrame:

@@ -69,6 +69,24 @@ def stale_supply_tags(projects: DataFrame, insights: DataFrame) -> DataFrame:
     return projects.filter(e.live() & e.decided()).join(tagged, "id", "left_anti")
 
 
+def _renewed(insights: DataFrame, answers: DataFrame, field: str, tags: str) -> DataFrame:
+    """insights with new values of a field (answers: project_id and the field); the tags that rest on it are emptied, so that they are due again."""
+    new = answers.select("project_id", F.col(field).alias("new"), F.lit(True).alias("renewed"))
+    rows = insights.join(new, "project_id", "full")
+    pick = {field: F.when(F.col("renewed"), F.col("new")).otherwise(F.col(field)), tags: F.when(F.col("renewed").isNull(), F.col(tags))}
+    return rows.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in insights.columns])
+
+
+def renew_questions(insights: DataFrame, answers: DataFrame) -> DataFrame:
+    """Question summaries renewed; the risk tags of those cases are due again."""
+    return _renewed(insights, answers, "qna_summary", "risk_tags")
+
+
+def renew_notes(insights: DataFrame, answers: DataFrame) -> DataFrame:
+    """Note extracts renewed; the cancellation tags of those cases are due again."""
+    return _renewed(insights, answers, "note_extract", "cancel_tags")
+
+
 class ModelClient(Protocol):
     """Turns a prompt's text into an answer; must be picklable."""
 

@@ -72,15 +72,35 @@ def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_owned(old: DataFrame, new: DataFrame, key: str, owner: str) -> DataFrame:
-    """Rows replace those of the same id and owner; rows of a foreign id are inserted under a new id after the greatest one."""
+    """Rows replace those of the same id and owner; rows of a foreign id are inserted under new ids after the greatest one, in their order.
+
+    New ids come from counts of key ranges and ranks within a range, so no task sees all rows.
+    """
     mine = new.join(old.select(key, owner), [key, owner], "left_semi")
     other = new.join(old.select(key, owner), [key, owner], "left_anti")
+    span = F.floor(F.col(key) / 65_536)
+    sums = other.groupBy(span.alias("__range")).agg(F.count("*").alias("__n"))
+    sums = sums.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per range
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    order = Window.orderBy(key, owner)  # a batch of one user's rows
-    fresh = other.crossJoin(F.broadcast(top)).withColumn(key, F.col("__top") + F.row_number().over(order)).drop("__top")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(key, owner))
+    placed = other.withColumn("__range", span).withColumn("__rank", rank).join(sums, "__range").crossJoin(F.broadcast(top))  # one row
+    fresh = placed.withColumn(key, F.col("__top") + F.col("__before") + F.col("__rank")).select(*new.columns)
     return upsert(old, mine, [key, owner]).unionByName(fresh)
 
 
+def update_counts(old: DataFrame, batches: DataFrame, key: str = "id", field: str = "proposal_count", ids: str = "ids", counts: str = "counts") -> DataFrame:
+    """Rows of old whose count differs from that in a batch's parallel arrays, with the new count; of a repeated id the greatest count. No row is added."""
+    pairs = batches.select(F.explode(F.arrays_zip(F.col(ids).alias("k"), F.col(counts).alias("v"))).alias("p")).select(F.col("p.k").alias(key), F.col("p.v").alias("new"))
+    pairs = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("new").alias("new"))
+    both = old.join(pairs, key)
+    return both.filter(~F.col(field).eqNullSafe(F.col("new"))).withColumn(field, F.col("new")).select(*old.columns)
+
+
+def rescan(rows: DataFrame, at: str, as_of: Column, days: int = 60) -> DataFrame:
+    """Rows of the last days, all of them whatever the cursor says; the sink's keys make a repeated scan harmless."""
+    return rows.filter(F.col(at) >= as_of - F.expr(f"INTERVAL '{days}' DAY"))
+
+
 def differences(before: DataFrame, after: DataFrame, fields: dict[str, str] = DIFF_FIELDS) -> DataFrame:
     """id, field, before, after (as text) of the fields that differ in rows that both snapshots have."""
     used = {f: n for f, n in fields.items() if f in before.columns and f in after.columns}

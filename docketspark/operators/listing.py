@@ -26,7 +26,10 @@ class CaseQuery:
 
 
 #: Fields of a search and their weights; the body weighs least.
-WEIGHTS = (("title", 10), ("category", 5), ("client_name", 3), ("posting_raw", 1))
+WEIGHTS = (("title", 10), (("category", "tech"), 5), ("client_name", 3), ("posting_raw", 1))
+SEARCHED = tuple(f for fields, _ in WEIGHTS for f in ((fields,) if isinstance(fields, str) else fields))
+#: Sessions that a list shows.
+SESSIONS, PREVIEW = 100, 160
 LIST_COLUMNS = ("id", "title", "client_name", "category", "status", "stage", "budget", "budget_monthly", "contract_amount", "proposal_count", "inspection_manager", "recruit_started_at")
 
 
@@ -71,9 +74,9 @@ def filtered(projects: DataFrame, timeline: DataFrame, postings: DataFrame, q: C
     if not tokens:
         return rows.withColumn("score", F.lit(0))
     rows = with_body(rows, postings)
-    fields = [F.col("id").cast("string"), *[F.col(f) for f, _ in WEIGHTS]]
+    fields = [F.col("id").cast("string"), *[F.col(f) for f in SEARCHED]]
     hit = reduce(lambda a, b: a & b, [e.matches(fields, t) for t in tokens])
-    return rows.filter(hit).withColumn("score", e.relevance([(F.col(f), w) for f, w in WEIGHTS], tokens)).drop("posting_raw")
+    return rows.filter(hit).withColumn("score", e.relevance([(F.col(f) if isinstance(f, str) else F.concat_ws("\n", *f), w) for f, w in WEIGHTS], tokens)).drop("posting_raw")
 
 
 def ordering() -> list[Column]:
@@ -136,3 +139,15 @@ def nested_events(timeline: DataFrame) -> DataFrame:
     """Per case its events as an ordered list of (event_at, source, title), missing times last."""
     one = F.struct(F.col("event_at").isNull().alias("missing"), "event_at", "id", "source", "title")
     return timeline.groupBy("project_id").agg(F.sort_array(F.collect_list(one)).alias("events"))
+
+
+def sessions_of(sessions: DataFrame, owner: str, top: int = SESSIONS) -> DataFrame:
+    """An owner's latest sessions: id, title, times, calls, whether there is a draft, and the source's first characters."""
+    own = sessions.filter(F.col("owner") == owner).orderBy(F.desc("updated_at"), F.desc("id")).limit(top)
+    calls = F.coalesce(F.array_size("call_ids"), F.lit(0))
+    return own.select("id", "title", "updated_at", "created_at", calls.alias("call_count"), F.col("draft").isNotNull().alias("has_draft"), F.left("source_text", F.lit(PREVIEW)).alias("preview"))
+
+
+def session_of(sessions: DataFrame, owner: str, session_id: int) -> DataFrame:
+    """One session by id, for its owner only."""
+    return sessions.filter((F.col("id") == session_id) & (F.col("owner") == owner)).select("id", "title", "updated_at", "source_text", "draft")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketspark.functions import rules
 from docketspark.functions.exprs import half_up
 from docketspark.schema import (
-    BUFFER, DAYS_PER_MONTH, EMBEDDED, EMBEDDED_TYPE, GATE, PM_PRICE, PM_RATIO, POSTING_PARTS, QA_PRICE, QA_RATIO, RATES, RND_PRICE, RND_TYPE, SECTIONS,
+    BUFFER, DAYS_PER_MONTH, EMBEDDED, EMBEDDED_TYPE, GATE, OPTIONS, PM_PRICE, PM_RATIO, POSTING_PARTS, QA_PRICE, QA_RATIO, RATES, RND_PRICE, RND_TYPE, SECTIONS,
 )
 
 CORE = ("purpose", "features", "platform")
@@ -30,6 +31,28 @@ def _total():
     return half_up(F.sum(used * F.col("confidence")) / F.sum(used))
 
 
+def assembled(answers: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """key, section, confidence, applicable and guesses of all sections from a model's answers.
+
+    answers: key, section, confidence, applicable, evidence, guess (array); sources: key and source, the input text. A section without an answer is applicable with
+    confidence 0; an inapplicable one counts only with its evidence in the source; confidence is rounded and held within 0 and 100.
+    """
+    dim = F.broadcast(sections(answers.sparkSession))
+    rows = sources.select(key, "source").crossJoin(dim).join(answers, [key, "section"], "left")  # twelve sections
+    out = rows.withColumn("applies", ~rules.accepts_inapplicable(F.col("na_allowed"), F.col("applicable"), F.col("evidence"), F.col("source")))
+    sure = F.greatest(F.lit(0), F.least(F.lit(100), half_up(F.coalesce("confidence", F.lit(0)))))
+    guesses = rules.accepted_guesses(F.col("guess_allowed"), F.col("applies"), sure, F.col("guess"))
+    return out.select(key, "section", sure.alias("confidence"), F.col("applies").alias("applicable"), guesses.alias("guesses"))
+
+
+def options(answers: DataFrame, key: str) -> DataFrame:
+    """The four fixed options of every key: option, name, period and kind; an option without an answer has defaults. answers: key, option, kind, period."""
+    fixed = answers.sparkSession.createDataFrame(OPTIONS, "option string, name string")
+    keys = answers.groupBy(key).agg(F.max("kind").alias("kind")).crossJoin(F.broadcast(fixed))  # four options
+    own = answers.filter(F.col("option").isNotNull()).select(key, "option", "period")
+    return keys.join(own, [key, "option"], "left").select(key, "option", "name", rules.period(F.col("period")).alias("period"), rules.project_type(F.col("kind")).alias("kind"))
+
+
 def totals(scores: DataFrame, key: str) -> DataFrame:
     """Weighted mean of the applicable sections' confidence, rounded; scores: key, section, confidence, applicable."""
     return _weighted(scores).groupBy(key).agg(_total().alias("total"))
@@ -63,9 +86,9 @@ def posting_parts(scores: DataFrame, key: str) -> DataFrame:
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Cost per id in 10,000 won from rows (id, kind, part, level, md, price, qty, rnd_low, rnd_high); negative or missing quantities count as 0."""
+    """Cost per id in 10,000 won from rows (id, kind, part, level, md, price, qty, rnd_low, rnd_high); quantities are rounded, negative or missing ones count as 0."""
     embedded = F.when((F.col("part") == "dev") & (F.col("kind") == EMBEDDED_TYPE), EMBEDDED).otherwise(1.0)
-    md = F.col("md") * F.greatest(F.coalesce("qty", F.lit(0)), F.lit(0)) * embedded
+    md = F.col("md") * rules.quantity(F.col("qty")) * embedded
     out = rows.groupBy("id").agg(
         F.first("kind").alias("kind"), F.first("rnd_low").alias("low"), F.first("rnd_high").alias("high"), F.sum(md).alias("md"), F.sum(md * F.col("price") / DAYS_PER_MONTH).alias("cost"), F.sum(F.when(F.col("part") == "dev", md)).alias("dev_md"),
     )

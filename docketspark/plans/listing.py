@@ -44,8 +44,10 @@ def like(field: str, token: str) -> str:
 
 
 def search_sql(tokens: list[str]) -> tuple[str, str]:
-    hit = " AND ".join("(" + " OR ".join(like(f, t) for f in ("id::VARCHAR", "title", "category", "client_name", "posting_raw")) + ")" for t in tokens)
-    score = " + ".join(f"CASE WHEN {like(f, t)} THEN {w} ELSE 0 END" for t in tokens for f, w in m.WEIGHTS)
+    hit = " AND ".join("(" + " OR ".join(like(f, t) for f in ("id::VARCHAR", "title", "category", "tech", "client_name", "posting_raw")) + ")" for t in tokens)
+    fields = (("title", 10), ("category", 5), ("client_name", 3), ("posting_raw", 1))
+    either = lambda f, t: f"({like(f, t)} OR {like('tech', t)})" if f == "category" else like(f, t)
+    score = " + ".join(f"CASE WHEN {either(f, t)} THEN {w} ELSE 0 END" for t in tokens for f, w in fields)
     return hit, score
 
 

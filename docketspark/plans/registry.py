@@ -11,7 +11,7 @@ from docketspark.sources.binding import Tables, with_tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("report", "listing", "similar", "scalar", "ingest", "derived")
+MODULES = ("report", "listing", "similar", "scalar", "ingest", "derived", "rules")
 
 
 def query(name: str, sql: str | None = None):

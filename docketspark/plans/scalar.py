@@ -104,7 +104,7 @@ def truncate_text(t):
     return t.documents.select("doc_id", F.left("text", F.lit(200)).alias("title"), F.left("text", F.lit(160)).alias("preview"), F.length(F.left("text", F.lit(7000))).alias("n_embed"))
 
 
-_sq = lambda s: f"lower(regexp_replace({s}, '[\\s.,;:!?()\\[\\]\"''`~·-]+', '', 'g'))"
+_sq = lambda s: f"lower(regexp_replace({s}, '[\\t\\n\\x0B\\f\\r \\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}.,!?~\"''`()\\[\\]{{}}·…-]', '', 'g'))"
 
 
 @query("quote_grounded", f"SELECT a.conv_id, a.turn, length({_sq('left(a.text, 20)')}) >= 6 AND contains({_sq('b.text')}, {_sq('left(a.text, 20)')}) AS grounded FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - a.turn % 2")

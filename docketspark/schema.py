@@ -57,3 +57,24 @@ EMBEDDED_TYPE, RND_TYPE = "임베디드 SW", "R&D"
 
 #: Account of a manager to a name; accounts that it lacks show as they are.
 MANAGERS = {f"manager_{i}": f"Manager {i}" for i in range(5)}
+
+# fixed values: the tags that risks, cancellations and scarce supply may carry
+RISK_TAGS = ("외부 연동", "결제·정산", "데이터 정합성", "요구사항 불명확", "일정 압박", "비용 초과", "기술 실현 불확실", "성능·트래픽", "보안·개인정보", "규제·심사", "레거시·이관", "AI 정확도", "하드웨어·기기", "자료 미비", "운영·의사결정")
+CANCEL_TAGS = ("클라이언트 연락두절", "요구사항·범위 변경", "타 업체 선정", "클라이언트 내부 사정", "사업 방향 불확실", "파트너 부적합", "예산·자금 부족", "일정 지연·보류", "자체 개발 전환", "법률·정책 제약", "플랫폼 조건 불일치")
+SUPPLY_TAGS = ("회로·펌웨어·임베디드", "기구설계·제조도면", "산업제어(PLC/SCADA/HMI)", "레거시·폐쇄형 스택", "특정 SaaS·솔루션 종속", "상주·출장·지역 제한", "규제·인증 대응", "연구성 PoC·자문", "게임엔진·3D·VR", "인프라 이전·장애 대응", "디자인 단건·에셋", "기존 코드 인수인계", "다국어·해외 타깃")
+# fixed values: roles that may stand before a follow-up, and what replaces anybody else
+ROLES, PERSON = ("클라이언트", "파트너", "매니저", "고객사", "개발사"), "담당자"
+# fixed values: guesses that say nothing, by containment and by equality
+GUESS_EXAMPLES = ("요구사항 정의 필요", "일정 협의 필요", "품질 관리 필요", "예산 확정 필요")
+GUESS_SHAPE = ("보통 … 하는 경우가 많다", "…가 따라오는 편")
+# fixed values: kinds of projects (the first is the default), the four options, and the purposes of questions (the first is the default)
+PROJECT_TYPES = ("일반 SW", "임베디드 SW", "R&D")
+OPTIONS = (("A", "Standard (100%)"), ("B", "Value (80%)"), ("C", "Lean MVP (60%)"), ("D", "Extreme (40%)"))
+PURPOSES = ("범위", "견적", "둘다")
+NO_PERIOD, MIN_FREQUENCY = "미정", 2
+# fixed values: labels of a case's chips
+PLANNING_LABELS = {"idea": "아이디어 단계", "detail": "상세 기획 있음", "document": "기획서 보유"}
+TURNKEY = "턴키"
+# fixed values: white space as the rules for quotes mean it, and what else a quote is compared without
+WHITE_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+QUOTE_MARKS = r".,!?~\"'`()\[\]{}·…-"

@@ -13,7 +13,7 @@ EVENTS_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 #: In the texts, {name} is a driver table or another case table; {set:x} the sorted distinct non-null values of x.
 SQL = {
     "projects": """
-SELECT id, title, client_name, category, status,
+SELECT id, title, client_name, category, tech, status,
   CASE status WHEN '모집' THEN 2 WHEN '계약' THEN 3 WHEN '진행' THEN 4 ELSE 5 END AS stage,
   budget, id % 40 = 0 AS budget_monthly,
   CASE WHEN status NOT IN ('계약', '진행', '완료(성공)') THEN NULL WHEN id % 23 = 0 THEN 0 WHEN id % 29 = 0 THEN budget ELSE amount END AS contract_amount,
@@ -26,19 +26,19 @@ SELECT id, title, client_name, category, status,
   CASE WHEN status = '완료(취소)' THEN CASE id % 3 WHEN 0 THEN '검수' WHEN 1 THEN '모집' ELSE '계약' END END AS cancel_stage,
   id % 97 = 0 AS hidden, CASE WHEN id % 89 = 0 THEN started END AS deleted_at,
   cast(30 + id % 150 AS int) AS term_days
-FROM (SELECT o_orderkey AS id, concat(coalesce(p_name, ''), ' ', c_mktsegment) AS title, c_name AS client_name, c_mktsegment AS category,
+FROM (SELECT o_orderkey AS id, concat(coalesce(p_name, ''), ' ', c_mktsegment) AS title, c_name AS client_name, c_mktsegment AS category, p_type AS tech,
     CASE o_orderstatus WHEN 'O' THEN '모집' WHEN 'P' THEN '완료(취소)' ELSE CASE o_orderkey % 3 WHEN 0 THEN '계약' WHEN 1 THEN '진행' ELSE '완료(성공)' END END AS status,
     cast(round(o_totalprice * 300) AS bigint) AS budget, o_orderpriority AS dev_scope, o_custkey AS cust, o_orderdate AS started, n_lines, amount
   FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey LEFT JOIN {part} p ON p_partkey = o_orderkey % 200
   LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, cast(sum(cast(round(l_extendedprice * (1 - l_discount) * 300) AS bigint)) AS bigint) AS amount
     FROM {lineitem} l GROUP BY l_orderkey) t ON l_orderkey = o_orderkey) x""",
-    "postings": "SELECT o_orderkey AS project_id, text AS posting_raw FROM {orders} o JOIN {documents} d ON doc_id = o_orderkey % 200",
+    "postings": "SELECT project_id, text AS posting_raw FROM (SELECT o_orderkey AS project_id, o_orderkey % n AS doc FROM {orders} o, (SELECT count(*) AS n FROM {documents} e) m) x JOIN {documents} d ON doc_id = doc",
     "timeline": """
-SELECT event_id AS id, event_id % 1500 AS project_id, cast(event_id AS varchar(20)) AS source_id, ts AS event_at, props AS meta, user_id,
+SELECT event_id AS id, event_id % n AS project_id, cast(event_id AS varchar(20)) AS source_id, ts AS event_at, props AS meta, user_id,
   CASE event_type WHEN 'view' THEN 'qna' WHEN 'click' THEN 'managenote' WHEN 'signup' THEN 'meeting' WHEN 'purchase' THEN 'change' ELSE 'status' END AS source,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat(event_type, ' by ', cast(user_id AS varchar(20))) END AS title,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('value ', cast(cast(round(value * 100) AS bigint) AS varchar(20))) END AS body
-FROM {events} e""",
+FROM {events} e, (SELECT count(*) AS n FROM {orders} o) m""",
     "insights": """
 SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 5 <> 0 THEN coalesce(risk, {none}) END AS risk_tags,
   CASE WHEN o_orderkey % 5 <> 0 THEN coalesce(cancel, {none}) END AS cancel_tags, CASE WHEN o_orderkey % 5 <> 0 THEN coalesce(supply, {none}) END AS supply_tags,
@@ -54,11 +54,15 @@ SELECT conv_id * 1000 + turn AS id, conv_id AS project_id, role AS user_type, CA
   CASE WHEN conv_id % 3 = 0 THEN NULL ELSE length(text) + conv_id % 2 END AS source_len
 FROM {conversations} c""",
     "reviews": "SELECT doc_id AS project_id, quality = 1 AS check_quality, toxic = 0 AS check_toxic FROM {labels} l",
-    "favorite": "SELECT DISTINCT user_id AS owner, event_id % 1500 AS project_id FROM {events} e WHERE event_type = 'click'",
+    "favorite": "SELECT DISTINCT user_id AS owner, event_id % n AS project_id FROM {events} e, (SELECT count(*) AS n FROM {orders} o) m WHERE event_type = 'click'",
     "previous": """
 SELECT id, title, category, CASE WHEN id % 11 = 0 THEN '모집' ELSE status END AS status, budget + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS budget,
   contract_amount, CASE WHEN id % 17 = 0 THEN NULL ELSE inspection_manager END AS inspection_manager, term_days, proposal_count,
   CASE WHEN id % 11 = 0 THEN 2 ELSE stage END AS stage FROM {projects} x WHERE id % 13 <> 0""",
+    "sessions": """
+SELECT event_id AS id, concat('owner_', cast(user_id % 5 AS varchar(20))) AS owner, concat(event_type, ' session') AS title, ts AS created_at, ts + (event_id % 40) * INTERVAL '1' DAY AS updated_at,
+  CASE WHEN event_id % 3 = 0 THEN props END AS draft, concat(props, ' ', event_type, ' ', props) AS source_text, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN {none_long} ELSE {pair} END AS call_ids
+FROM {events} e""",
     "vectors": "SELECT vec_id AS project_id, embedding FROM {embeddings} e",
     "raw_projects": """
 SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'open' WHEN 1 THEN 'submitted' WHEN 2 THEN 'recruiting' WHEN 3 THEN 'close_recruiting' WHEN 4 THEN 'contracted'
@@ -74,7 +78,8 @@ FROM {orders} o""",
 
 
 def _text(name: str, spark: bool) -> str:
-    text = SQL[name].replace("{none}", "cast(array() AS array<string>)" if spark else "cast([] AS varchar[])")
+    text = SQL[name].replace("{none_long}", "cast(array() AS array<bigint>)" if spark else "cast([] AS bigint[])").replace("{pair}", "array(event_id, user_id)" if spark else "[event_id, user_id]")
+    text = text.replace("{none}", "cast(array() AS array<string>)" if spark else "cast([] AS varchar[])")
     return re.sub(r"\{set:([^{}]*)\}", r"sort_array(collect_set(\1))" if spark else r"list_sort(list_distinct(list(\1)))", text)
 
 
@@ -93,7 +98,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in SQL:
-                needs = [n for n in re.findall(r"\{(\w+)\}", SQL[name]) if n != "none"]
+                needs = [n for n in re.findall(r"\{(\w+)\}", SQL[name]) if n not in ("none", "none_long", "pair")]
                 frames = {n: getattr(self, n) for n in needs}
                 self._made[name] = self.spark.sql(_text(name, True), **frames)
             else:
