@@ -117,6 +117,23 @@ def _close_in_key(values: np.ndarray, core: np.ndarray, distance: int) -> list[t
     return links
 
 
+def in_tiles(members: DataFrame, by: list[str], member: str, chunk: int) -> DataFrame:
+    """members (with a boolean `core`) of the groups that have any outside the core, dealt into tiles: with x and y, the tile's name in its group.
+
+    Parts of about `chunk` members: each part of those apart meets each part of the core, and each other part of those apart; so no tile holds
+    more than two parts, and every pair but those within the core meets in one.
+    """
+    crowd = members.groupBy(*by).agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_apart")).filter("n_apart > 0 and n_core + n_apart > 1")
+    parts = lambda c: F.ceil(F.col(c) / chunk).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(member), parts(c)).cast("int")
+    upto = lambda c: F.when(parts(c) > 0, F.sequence(F.lit(0), parts(c) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    with_core = F.transform(upto("n_core"), lambda c: tile(c, own("n_apart")))
+    with_apart = F.transform(upto("n_apart"), lambda a: tile(-1 - F.least(a, own("n_apart")), F.greatest(a, own("n_apart"))))
+    tiles = F.when(F.col("core"), F.transform(upto("n_apart"), lambda a: tile(own("n_core"), a))).otherwise(F.concat(with_core, with_apart))
+    return members.join(crowd, by).withColumn("tile", F.explode(tiles)).select(*members.columns, "tile.x", "tile.y")
+
+
 def close_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints with the same connected groups as all pairs at most `distance` apart.
 
@@ -131,16 +148,7 @@ def close_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     core = _near("fp", "center", distance)
     star = members.filter(core & (F.col("fp") != F.col("center"))).select(F.col("fp").alias("a"), F.col("center").alias("b"))
 
-    crowd = members.groupBy("t", "key").agg(F.count_if(core).alias("n_core"), F.count_if(~core).alias("n_apart")).filter("n_apart > 0")
-    # each part of those apart meets each part of the core, and each other part of those apart
-    parts = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("fp"), parts(c)).cast("int")
-    upto = lambda c: F.when(parts(c) > 0, F.sequence(F.lit(0), parts(c) - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    with_core = F.transform(upto("n_core"), lambda c: tile(c, own("n_apart")))
-    with_apart = F.transform(upto("n_apart"), lambda a: tile(-1 - F.least(a, own("n_apart")), F.greatest(a, own("n_apart"))))
-    tiles = F.when(core, F.transform(upto("n_apart"), lambda a: tile(own("n_core"), a))).otherwise(F.concat(with_core, with_apart))
-    tasks = members.join(crowd, ["t", "key"]).withColumn("tile", F.explode(tiles)).select("t", "key", "tile.x", "tile.y", "fp", core.alias("core"))
+    tasks = in_tiles(members.withColumn("core", core), ["t", "key"], "fp", CHUNK).select("t", "key", "x", "y", "fp", "core")
 
     def run(batches):
         for rows in whole_runs(batches, 4, 16 * CHUNK):
