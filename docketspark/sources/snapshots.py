@@ -37,8 +37,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer has taken the next version; read again and repeat the commit."""
+
+
 class SnapshotStore:
-    """Tables under one root; manifest.json names each table's current folder and the cursors."""
+    """Tables under one root; manifest.json names each table's current folder and the cursors.
+
+    A writer takes a version by creating a file that must not exist yet, so of two writers from the same version one fails and nothing of
+    the other's commit is lost. A failed commit gives its version back; after a crash in between, release() does.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -64,6 +72,21 @@ class SnapshotStore:
         """Write the tables, then publish them and the cursors together; a failure before the last step leaves the old version."""
         old = self.manifest()
         version = old["version"] + 1
+        claim = self._path(f"{self.root}/commits/{version}")
+        if not self._fs.createNewFile(claim):
+            raise ConcurrentCommit(f"version {version} is taken")
+        try:
+            return self._publish(old, version, tables, cursors)
+        except BaseException:
+            self._fs.delete(claim, False)
+            raise
+
+    def release(self, version: int) -> None:
+        """Give a version back that a crashed writer has taken and not published."""
+        if version > self.manifest()["version"]:
+            self._fs.delete(self._path(f"{self.root}/commits/{version}"), False)
+
+    def _publish(self, old: dict, version: int, tables: dict[str, DataFrame], cursors: dict[str, str | None] | None) -> int:
         paths = {}
         for name, df in tables.items():
             paths[name] = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex}"
