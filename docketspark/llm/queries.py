@@ -47,12 +47,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The personal data of every document: base counts and digest, and all spans."""
+    """The personal data of every document: base counts and digest, all spans, and their scores in the same order."""
     found = pii.personal_data(_documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
