@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts
+from . import ann, filter_audit, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts
 
 from .common import fold
 
@@ -80,6 +80,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(places, ",").alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, behind each other in every order, per language."""
+    return filter_audit.audit_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -92,8 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_secret_scans": op10_secret_scans,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": filter_audit.SQL}
