@@ -6,6 +6,7 @@ import json
 import os
 import re
 import uuid
+import weakref
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{work_root(df.sparkSession)}/docketspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where materialize() has put a table.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that materialize() made, once all that was derived from them is written itself."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(written: DataFrame, *shared: Broadcast) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, divergence, filter_audit, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_counts
+from . import ann, divergence, filter_audit, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, repeats, secrets, simhash, token_counts
 
 from .common import fold
 
@@ -85,6 +85,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of strings of 400 that also start elsewhere."""
+    return repeats.removals(_documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source's divergence from the others of its language, and the terms that set it apart."""
     return divergence.source_divergence(_documents(spark, sf_dir))
@@ -103,9 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_secret_scans": op10_secret_scans,
         "op11_filter_audit": op11_filter_audit,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": filter_audit.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op11_filter_audit": filter_audit.SQL, "op12_suffix_dedup": repeats.SQL, "op13_source_divergence": divergence.SQL}
