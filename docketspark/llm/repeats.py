@@ -31,7 +31,7 @@ LENGTH = 400
 #: The widths of cells, in offsets, of the rounds after the first; the last is a single string.
 WIDTHS = (17, 1)
 #: Bytes of a buffer that are hashed together; a place fits in the low bits of a hash.
-BLOCK, PLACE = (1 << 22) - 4096, np.uint64((1 << 24) - 1)
+BLOCK, PLACE = 1 << 19, np.uint64((1 << 24) - 1)
 
 
 def gram(length: int) -> int:
@@ -105,7 +105,7 @@ def _anchored(keyed: DataFrame, length: int) -> DataFrame:
             owner = np.searchsorted(ends, anchor, side="right")
             rows = zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True)
             ranks = [(xxhash.xxh3_64_intdigest(buffer[a : a + k]), xxhash.xxh3_64_intdigest(buffer[i : j + length], a - i + 1)) for a, i, j in rows]
-            taken = part.take(pa.array(owner))
+            taken = part.select([0, 1]).take(pa.array(owner))
             prefix, span = (_longs([r[n] for r in ranks]) for n in (0, 1))
             places = [pa.array(x.astype(np.int32)) for x in (anchor - (ends - sizes)[owner], anchor - last, anchor - first)]
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *places, prefix, span], ["doc_id", "h", "a", "near", "far", "prefix", "span"])
@@ -143,7 +143,7 @@ def _cut(held: DataFrame, length: int, width: int, first: bool) -> DataFrame:
                         row.append(r)
                         out.append((a, near, far, prefix, span, task["open"]))
             a, near, far, prefix, span, open_ = zip(*out, strict=True) if out else ((),) * 6
-            taken = part.take(pa.array(row, pa.int64()))
+            taken = part.select([0, 1]).take(pa.array(row, pa.int64()))
             places = [pa.array(x, pa.int32()) for x in (a, near, far)]
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *places, _longs(prefix), _longs(span), pa.array(open_, pa.bool_())], ["doc_id", "h", "a", "near", "far", "prefix", "span", "open"])
 
