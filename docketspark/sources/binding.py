@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 EVENTS_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
+#: Cases of events: a quarter of the events lies on a case each, a tenth on one crowded case, the others in groups by user; many cases have none.
+_CASE = "CASE WHEN event_id % 4 = 0 THEN event_id % n WHEN event_id % 10 = 1 THEN 7 ELSE (user_id * 89 + event_id % 12 * 13) % n END"
+
 #: In the texts, {name} is a driver table or another case table; {set:x} the sorted distinct non-null values of x.
 SQL = {
     "projects": """
@@ -29,12 +32,12 @@ SELECT id, title, client_name, category, tech, status,
 FROM (SELECT o_orderkey AS id, concat(coalesce(p_name, ''), ' ', c_mktsegment) AS title, c_name AS client_name, c_mktsegment AS category, p_type AS tech,
     CASE o_orderstatus WHEN 'O' THEN '모집' WHEN 'P' THEN '완료(취소)' ELSE CASE o_orderkey % 3 WHEN 0 THEN '계약' WHEN 1 THEN '진행' ELSE '완료(성공)' END END AS status,
     cast(round(o_totalprice * 300) AS bigint) AS budget, o_orderpriority AS dev_scope, o_custkey AS cust, o_orderdate AS started, n_lines, amount
-  FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey LEFT JOIN {part} p ON p_partkey = o_orderkey % 200
+  FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey CROSS JOIN (SELECT count(*) AS n_parts FROM {part} e) m LEFT JOIN {part} p ON p_partkey = o_orderkey % n_parts
   LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, cast(sum(cast(round(l_extendedprice * (1 - l_discount) * 300) AS bigint)) AS bigint) AS amount
     FROM {lineitem} l GROUP BY l_orderkey) t ON l_orderkey = o_orderkey) x""",
     "postings": "SELECT project_id, text AS posting_raw FROM (SELECT o_orderkey AS project_id, o_orderkey % n AS doc FROM {orders} o, (SELECT count(*) AS n FROM {documents} e) m) x JOIN {documents} d ON doc_id = doc",
     "timeline": """
-SELECT event_id AS id, event_id % n AS project_id, cast(event_id AS varchar(20)) AS source_id, ts AS event_at, props AS meta, user_id,
+SELECT event_id AS id, {case} AS project_id, cast(event_id AS varchar(20)) AS source_id, ts AS event_at, props AS meta, user_id,
   CASE event_type WHEN 'view' THEN 'qna' WHEN 'click' THEN 'managenote' WHEN 'signup' THEN 'meeting' WHEN 'purchase' THEN 'change' ELSE 'status' END AS source,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat(event_type, ' by ', cast(user_id AS varchar(20))) END AS title,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('value ', cast(cast(round(value * 100) AS bigint) AS varchar(20))) END AS body
@@ -78,7 +81,7 @@ FROM {orders} o""",
 
 
 def _text(name: str, spark: bool) -> str:
-    text = SQL[name].replace("{none_long}", "cast(array() AS array<bigint>)" if spark else "cast([] AS bigint[])").replace("{pair}", "array(event_id, user_id)" if spark else "[event_id, user_id]")
+    text = SQL[name].replace("{case}", _CASE).replace("{none_long}", "cast(array() AS array<bigint>)" if spark else "cast([] AS bigint[])").replace("{pair}", "array(event_id, user_id)" if spark else "[event_id, user_id]")
     text = text.replace("{none}", "cast(array() AS array<string>)" if spark else "cast([] AS varchar[])")
     return re.sub(r"\{set:([^{}]*)\}", r"sort_array(collect_set(\1))" if spark else r"list_sort(list_distinct(list(\1)))", text)
 
@@ -98,7 +101,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in SQL:
-                needs = [n for n in re.findall(r"\{(\w+)\}", SQL[name]) if n not in ("none", "none_long", "pair")]
+                needs = [n for n in re.findall(r"\{(\w+)\}", SQL[name]) if n not in ("case", "none", "none_long", "pair")]
                 frames = {n: getattr(self, n) for n in needs}
                 self._made[name] = self.spark.sql(_text(name, True), **frames)
             else:
