@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketspark.functions import exprs as e
+from docketspark.operators.selection import medians
 from docketspark.schema import MANAGERS, MIN_SAMPLE, REPORT_MONTHS
 
 
@@ -16,10 +17,12 @@ def window(projects: DataFrame, as_of: Column, days: int | None) -> DataFrame:
 
 def totals(projects: DataFrame) -> DataFrame:
     paid = F.when(F.col("contract_amount") > 0, F.col("contract_amount"))
-    return projects.filter(e.live()).agg(
+    live = projects.filter(e.live())
+    out = live.agg(
         F.count("*").alias("total"), F.count_if(e.won()).alias("won"), F.count_if(e.cancelled()).alias("cancelled"), F.count_if(e.pending()).alias("pending"),
-        F.percentile(paid, 0.5).alias("median_amount"), F.round(F.avg(paid), 2).alias("mean_amount"), F.min(paid).alias("min_amount"), F.max(paid).alias("max_amount"),
+        F.round(F.avg(paid), 2).alias("mean_amount"), F.min(paid).alias("min_amount"), F.max(paid).alias("max_amount"),
     )
+    return out.crossJoin(F.broadcast(medians(live, [], {"median_amount": paid})))  # one row each
 
 
 def win_rates(projects: DataFrame, label: Column, min_decided: int = MIN_SAMPLE, by: Column | None = None) -> DataFrame:
@@ -63,11 +66,12 @@ def by_month(projects: DataFrame, months: int = REPORT_MONTHS) -> DataFrame:
 
 
 def stage_days(projects: DataFrame) -> DataFrame:
-    days = lambda a, b: F.percentile(e.whole_days(F.col(a), F.col(b)), 0.5)
-    return projects.filter(e.live()).agg(
-        days("submitted_at", "recruit_started_at").alias("inspection"), days("recruit_started_at", "progress_started_at").alias("recruiting"),
-        days("progress_started_at", "completed_at").alias("progress"), days("recruit_started_at", "cancelled_at").alias("cancelled"),
-    )
+    """Median days of each stage; one row."""
+    days = lambda a, b: e.whole_days(F.col(a), F.col(b))
+    return medians(projects.filter(e.live()), [], {
+        "inspection": days("submitted_at", "recruit_started_at"), "recruiting": days("recruit_started_at", "progress_started_at"),
+        "progress": days("progress_started_at", "completed_at"), "cancelled": days("recruit_started_at", "cancelled_at"),
+    })
 
 
 def budget_delta(rows: DataFrame) -> DataFrame:
@@ -79,11 +83,12 @@ def managers(projects: DataFrame, names: dict[str, str] = MANAGERS) -> DataFrame
     """Per manager, after names are resolved: counts, rates, medians and a flag for few decided cases."""
     account = F.col("inspection_manager")
     lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    out = projects.filter(e.live() & account.isNotNull()).groupBy(F.coalesce(lookup[account], account).alias("manager")).agg(
+    named = projects.filter(e.live() & account.isNotNull()).withColumn("manager", F.coalesce(lookup[account], account))
+    out = named.groupBy("manager").agg(
         F.count("*").alias("total"), F.count_if(e.decided()).alias("decided"), F.count_if(e.won()).alias("won"), F.count_if(e.cancelled()).alias("cancelled"), F.count_if(e.pending()).alias("pending"),
-        F.percentile(F.when(F.col("contract_amount") > 0, F.col("contract_amount")), 0.5).alias("contract_median"),
-        F.percentile(e.whole_days(F.col("recruit_started_at"), F.col("progress_started_at")), 0.5).alias("days"),
     )
+    spans = {"contract_median": F.when(F.col("contract_amount") > 0, F.col("contract_amount")), "days": e.whole_days(F.col("recruit_started_at"), F.col("progress_started_at"))}
+    out = out.join(medians(named, ["manager"], spans), "manager", "left")
     share = lambda n: F.when(F.col("decided") > 0, e.half_up(F.col(n) / F.col("decided") * 1000) / 10).otherwise(0.0)
     return out.select("manager", "total", "decided", share("won").alias("contract_rate"), share("cancelled").alias("cancel_rate"), "contract_median", e.half_up(F.col("days")).alias("recruiting_days"), "pending", (F.col("decided") < MIN_SAMPLE).alias("low_sample"))
 
