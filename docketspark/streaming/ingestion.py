@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.operators import ingest
-from docketspark.sources.snapshots import SnapshotStore
+from docketspark.sources.snapshots import Merge, SnapshotStore
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -17,18 +17,17 @@ def read_batches(spark: SparkSession, folder: str, schema: str, files_per_batch:
 def commit_cases(store: SnapshotStore, batch: DataFrame, modified: str = "modified") -> int:
     """Upsert one batch of cases (id, ..., modified), append their change events and move the cursor on, in one commit.
 
-    Repeating a batch changes nothing but the version: rows are replaced by id, events kept by their source id.
+    Of both tables only the buckets that the batch's keys lie in are read and written. Repeating a batch changes nothing but the version: rows are
+    replaced by id, events kept by their source id.
     """
     rows = ingest.last_wins(batch, ["id"], modified)
-    old = store.read("cases")
-    tables = {"cases": rows if old is None else ingest.upsert(old, rows, ["id"])}
-    if old is not None:
+    batches = {"cases": Merge(rows, ["id"])}
+    if "cases" in store.manifest()["tables"]:
+        old = store.read("cases", store.touched("cases", rows))
         diff = ingest.differences(old, rows).join(rows.select("id", F.col(modified).cast("string").alias("__m")), "id")
-        events = ingest.change_events(diff, F.col("__m"))
-        before = store.read("events")
-        tables["events"] = events if before is None else ingest.insert_ignore(before, events, ["source_id"])
+        batches["events"] = Merge(ingest.change_events(diff, F.col("__m")), ["source_id"], replace=False)
     reached = ingest.greatest_cursor(rows, modified, "id").first()["cursor"]  # one row
-    return store.commit(tables, {"cases": ingest.next_cursor("always", store.cursor("cases"), reached or None)})
+    return store.merge(batches, {"cases": ingest.next_cursor("always", store.cursor("cases"), reached or None)})
 
 
 def run(stream: DataFrame, store: SnapshotStore, checkpoint: str):
