@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions import exprs as e
 from docketspark.schema import CANCELLED
+from docketspark.sources.snapshots import Merge, SnapshotStore, keep
 
+DUE = ("qna", "note", "risk", "cancel", "supply")
 LIMITS = {"qna": 40, "embed": 60, "meeting": 6, "note": 30, "risk": 40, "cancel": 30, "supply": 20}
 
 
@@ -30,17 +33,82 @@ def threads(timeline: DataFrame, size: int = 700) -> DataFrame:
     return rows.groupBy("project_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("threads"))
 
 
+def counted(timeline: DataFrame) -> DataFrame:
+    """project_id, n_qna, n_notes: how many titled questions and filled notes a case has; cases without either are absent."""
+    return timeline.groupBy("project_id").agg(F.count_if(_question()).alias("n_qna"), F.count_if(_note()).alias("n_notes")).filter("n_qna + n_notes > 0")
+
+
+def _question(of: str = "") -> Column:
+    return (F.col(f"{of}source") == "qna") & F.col(f"{of}title").isNotNull()
+
+
+def _note(of: str = "") -> Column:
+    return (F.col(f"{of}source") == "managenote") & (F.length(f"{of}body") > 0)
+
+
+def count_deltas(feed: DataFrame) -> DataFrame:
+    """project_id, d_qna, d_notes: what changes (before, after) of events add to or take from a case's counts; an event that moves counts for both cases."""
+    signed = F.array(F.struct(F.col("before").alias("e"), F.lit(-1).alias("sign")), F.struct(F.col("after").alias("e"), F.lit(1).alias("sign")))
+    rows = feed.select(F.inline(signed)).filter("e is not null")
+    sums = [F.sum(F.when(kind("e."), F.col("sign")).otherwise(0)).alias(n) for n, kind in (("d_qna", _question), ("d_notes", _note))]
+    return rows.groupBy(F.col("e.project_id").alias("project_id")).agg(*sums)
+
+
+def next_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The new counts of the cases that deltas name; zeros stay, so that they replace what was there."""
+    add = lambda n, d: (F.coalesce(n, F.lit(0)) + F.col(d)).cast("long").alias(n)
+    return deltas.join(counts, "project_id", "left").select("project_id", add("n_qna", "d_qna"), add("n_notes", "d_notes"))
+
+
+def due(counts: DataFrame, projects: DataFrame, insights: DataFrame) -> DataFrame:
+    """kind, project_id of the derived data that is due: qna, note, risk, cancel, supply; by counts instead of the events themselves."""
+    qna = _questions_due(_live(counts.filter("n_qna > 0").select("project_id", F.col("n_qna").alias("n")), projects), insights)
+    note = _notes_due(_live(counts.filter("n_notes > 0").select("project_id", F.col("n_notes").alias("n")), projects), insights)
+    found = {"qna": qna, "note": note, "risk": stale_risk_tags(projects, insights), "cancel": stale_cancel_tags(projects, insights), "supply": stale_supply_tags(projects, insights).withColumn("project_id", F.col("id"))}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "project_id") for kind, rows in found.items()])
+
+
+def refresh_due(store: SnapshotStore, since: int, tables: tuple[str, str, str] = ("timeline", "projects", "insights")) -> int:
+    """Bring the store's tables case_counts and due (kind, project_id, is_due) up to date from what has changed after version `since`; gives the new version.
+
+    Counts move by deltas of the events' change feed; only cases that a feed names are judged, and of all tables only their buckets are read. All three
+    tables are bucketed: events by id, cases by id, insights by project_id.
+    """
+    timeline, projects, insights = tables
+    moved = keep(store.feed(timeline, since), "feed-events")
+    deltas = keep(count_deltas(moved), "feed-deltas")
+    either = lambda feed, key: feed.select(F.coalesce(f"after.{key}", f"before.{key}").alias("project_id"))
+    cases = deltas.select("project_id").union(either(store.feed(projects, since), "id")).union(either(store.feed(insights, since), "project_id"))
+    cases = keep(cases.filter("project_id is not null").distinct(), "feed-cases")
+    known = store.read("case_counts", store.touched("case_counts", cases)) if "case_counts" in store.manifest()["tables"] else deltas.limit(0).selectExpr("project_id", "0L AS n_qna", "0L AS n_notes")
+    renewed = keep(next_counts(known, deltas), "feed-counts")
+    counts = known.join(renewed, "project_id", "left_anti").unionByName(renewed).join(cases, "project_id", "left_semi")
+    part = lambda name, key: store.read(name, store.touched(name, cases.withColumnRenamed("project_id", key))).join(cases.withColumnRenamed("project_id", key), key, "left_semi")
+    fresh = due(counts, part(projects, "id"), part(insights, "project_id")).withColumn("is_due", F.lit(True))
+    kinds = cases.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in DUE])))
+    judged = kinds.join(fresh, ["kind", "project_id"], "left").select("kind", "project_id", F.coalesce("is_due", F.lit(False)).alias("is_due"))
+    return store.merge({"case_counts": Merge(renewed, ["project_id"]), "due": Merge(judged, ["project_id", "kind"])})
+
+
+def _questions_due(rows: DataFrame, insights: DataFrame) -> DataFrame:
+    rows = rows.join(insights.select("project_id", "qna_summary"), "project_id", "left")
+    said = _json("qna_summary", "$.sourceCount").cast("long")
+    return rows.filter(F.col("qna_summary").isNull() | _json("qna_summary", "$.technicalNotes").isNull() | F.coalesce(said != F.col("n"), F.lit(False)))
+
+
+def _notes_due(rows: DataFrame, insights: DataFrame) -> DataFrame:
+    rows = rows.join(insights.select("project_id", "note_extract"), "project_id", "left")
+    return rows.filter(F.col("note_extract").isNull() | F.coalesce(_json("note_extract", "$.sourceCount").cast("long") != F.col("n"), F.lit(False)))
+
+
 def stale_questions(timeline: DataFrame, projects: DataFrame, insights: DataFrame) -> DataFrame:
     """Cases with questions whose summary is missing, of an old version, or counts other questions."""
-    rows = _live(threads(timeline), projects).join(insights.select("project_id", "qna_summary"), "project_id", "left")
-    counted = _json("qna_summary", "$.sourceCount").cast("long")
-    return rows.filter(F.col("qna_summary").isNull() | _json("qna_summary", "$.technicalNotes").isNull() | F.coalesce(counted != F.col("n"), F.lit(False)))
+    return _questions_due(_live(threads(timeline), projects), insights)
 
 
 def stale_notes(timeline: DataFrame, projects: DataFrame, insights: DataFrame) -> DataFrame:
-    notes = timeline.filter("source = 'managenote' and length(body) > 0").groupBy("project_id").agg(F.count("*").alias("n"))
-    rows = _live(notes, projects).join(insights.select("project_id", "note_extract"), "project_id", "left")
-    return rows.filter(F.col("note_extract").isNull() | F.coalesce(_json("note_extract", "$.sourceCount").cast("long") != F.col("n"), F.lit(False)))
+    notes = timeline.filter(_note()).groupBy("project_id").agg(F.count("*").alias("n"))
+    return _notes_due(_live(notes, projects), insights)
 
 
 def stale_meetings(calls: DataFrame, least: int = 500) -> DataFrame:

@@ -82,6 +82,33 @@ class SnapshotStore:
         rows = self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()
         return json.loads(rows[0].value)
 
+    def manifest_at(self, version: int) -> dict:
+        """The manifest of an earlier version; its tables can be read until expire() has passed it."""
+        if version == 0:
+            return {"version": 0, "tables": {}, "cursors": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).first().value)
+
+    def feed(self, table: str, since: int) -> DataFrame:
+        """What has changed in a bucketed table after version `since`: rows (before, after), null before an insert and after a delete.
+
+        Only the buckets that were written since are read, on both sides, so the cost follows the changes. The table must exist now.
+        """
+        now, then = self.manifest()["tables"][table], self.manifest_at(since)["tables"].get(table)
+        old = then["folders"] if then and then["buckets"] == now["buckets"] and then["keys"] == now["keys"] else None
+        if then and old is None:  # dealt anew in between
+            buckets, before = None, self._rows({"tables": {table: then}}, table)
+        else:
+            buckets = {int(b) for b, path in now["folders"].items() if (old or {}).get(b) != path}
+            before = self._rows({"tables": {table: (then or now) | {"folders": old or {}}}}, table, buckets)
+        after = self._rows({"tables": {table: now}}, table, buckets)
+        keys, columns = now["keys"], after.columns
+        left = before.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.struct(*columns).alias("before"))
+        right = after.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.struct(*columns).alias("after"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"b_{k}").eqNullSafe(F.col(f"a_{k}"))
+        return left.join(right, same, "full").filter(~F.col("before").eqNullSafe(F.col("after"))).select("before", "after")
+
     def read(self, table: str, buckets: set[int] | None = None) -> DataFrame | None:
         """The table's rows, or those of some of its buckets; None if there is no such table."""
         return self._rows(self.manifest(), table, buckets)
@@ -198,6 +225,9 @@ class SnapshotStore:
             raise
 
     def _write(self, new: dict, version: int) -> int:
+        copy = self._fs.create(self._path(f"{self.root}/manifests/{version}.json"), True)
+        copy.write(json.dumps(new).encode())
+        copy.close()
         draft, final = self._path(f"{self.root}/manifest.json.{version}"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(draft, True)
         out.write(json.dumps(new).encode())
