@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained on a bounded sample of whole labelled texts. A text is cut into blocks, each is
 compressed on its own with either dictionary, and the difference of the total sizes, normalised by the text's size and by
-the compressed size, goes through a logistic curve fitted on other labelled texts of the sample. Only the sample reaches the driver.
+the compressed size, goes through a logistic curve fitted on other labelled texts of the sample; these also choose, by cross-validation
+among themselves, what is added to short texts' sizes. Only the sample reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ SAMPLE_BYTES = 16 << 20
 #: A dictionary holds an eighth of the bytes it is trained on, within these bounds; fewer bytes than 8 times the lower one are repeated.
 DICTIONARY_BYTES = (1 << 10, 256 << 10)
 BLOCK = 512
-#: Added to a text's size, so that a few bytes say little about a very short text.
-PRIOR_BYTES = 64
+#: Added to a text's size, so that a few bytes say little about a very short text. The training takes another of these than the first only if
+#: cross-validation among the curve's texts shows it to be better by more than the standard error; the first is best among the training rows of 10,000 documents.
+PRIORS = (64, 16, 256, 1024)
+#: Parts of the curve's texts in the cross-validation.
+PARTS = 5
 TERMS = 2
 LEVEL = 3
 FOLDS = 5
@@ -33,10 +37,11 @@ THRESHOLD = 0.3
 
 
 class Model(NamedTuple):
-    """Two dictionaries, and the curve: its terms' ranges in the sample, means and spreads, then the weights of 1 and the terms."""
+    """Two dictionaries, the bytes added to sizes, and the curve: its terms' ranges in the sample, means and spreads, then the weights of 1 and the terms."""
 
     good: bytes
     bad: bytes
+    prior: int
     low: tuple[float, ...]
     high: tuple[float, ...]
     mean: tuple[float, ...]
@@ -58,17 +63,24 @@ class Measure:
             d.precompute_compress(level=LEVEL)
             self.with_dict.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def terms(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the two normalised differences (bad - good); nan for empty texts."""
-        out = np.full((len(texts), TERMS), np.nan)
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """Per text its size and those with the good and the bad dictionary; nan for empty texts."""
+        out = np.full((len(texts), 3), np.nan)
         good, bad = (c.compress for c in self.with_dict)
         for i, text in enumerate(texts):
-            parts = blocks_of(text)
-            if parts:
-                g, b = (sum(len(f(p)) for p in parts) for f in (good, bad))
-                out[i] = (b - g) / (len(text) + PRIOR_BYTES), (b - g) / (b + g)
+            if parts := blocks_of(text):
+                out[i] = len(text), *(sum(len(f(p)) for p in parts) for f in (good, bad))
         return out
 
+    def terms(self, texts: list[bytes], prior: int) -> np.ndarray:
+        return normalised(self.sizes(texts), prior)
+
+
+def normalised(sizes: np.ndarray, prior: int) -> np.ndarray:
+    """Per text the two normalised differences (bad - good)."""
+    n, good, bad = sizes.T
+    return np.column_stack([(bad - good) / (n + prior), (bad - good) / (bad + good)])
+
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression of y on x by Newton's method, with a little shrinkage."""
@@ -83,6 +95,33 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def _curve_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    return mean, spread, _curve((x - mean) / spread, y)
+
+
+def losses(sizes: np.ndarray, y: np.ndarray, prior: int, parts: int = PARTS) -> np.ndarray:
+    """Each text's log loss under the curve that is fitted on the other parts of the texts."""
+    part, x, out = np.arange(len(y)) % parts, normalised(sizes, prior), np.zeros(len(y))
+    for k in range(parts):
+        here = part == k
+        if here.any() and not here.all():
+            mean, spread, w = _curve_of(x[~here], y[~here])
+            z = np.clip(w[0] + (x[here] - mean) / spread @ np.array(w[1:]), -35, 35)
+            out[here] = np.logaddexp(0, np.where(y[here] == 1, -z, z))
+    return out
+
+
+def chosen_prior(sizes: np.ndarray, y: np.ndarray, priors: tuple[int, ...] = PRIORS) -> int:
+    """The prior with the least loss, if it is less than the first one's by more than a standard error of their difference; else the first."""
+    if not len(y):
+        return priors[0]
+    all_losses = [losses(sizes, y, prior) for prior in priors]
+    best = int(np.argmin([x.sum() for x in all_losses]))
+    gain = all_losses[0] - all_losses[best]
+    return priors[best] if gain.sum() > gain.std() * len(y) ** 0.5 else priors[0]
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled texts (labels: doc_id and a 0/1 label) outside the held-out fold.
 
@@ -110,18 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if not texts[0] or not texts[1]:
         share = float(np.mean([r.y for r in rows])) if rows else 0.5
         share = min(max(share, 0.01), 0.99)
-        return Model(b"", b"", *((0.0,) * TERMS,) * 3, (1.0,) * TERMS, (float(np.log(share / (1 - share))), *(0.0,) * TERMS))
+        return Model(b"", b"", PRIORS[0], *((0.0,) * TERMS,) * 3, (1.0,) * TERMS, (float(np.log(share / (1 - share))), *(0.0,) * TERMS))
     dictionaries = {y: _dictionary(own[::2]) for y, own in texts.items()}
     measure = Measure(dictionaries[1], dictionaries[0])
     held = [(t, y) for y, own in texts.items() for t in (own[1::2] or own)]
-    x = measure.terms([t for t, _ in held])
-    filled = ~np.isnan(x[:, 0])
-    x, y = x[filled], np.array([y for _, y in held], dtype=float)[filled]
-    x = x if len(x) else np.zeros((1, TERMS))
+    sizes = measure.sizes([t for t, _ in held])
+    filled = ~np.isnan(sizes[:, 0])
+    sizes, y = sizes[filled], np.array([y for _, y in held], dtype=float)[filled]
+    prior = chosen_prior(sizes, y)
+    x = normalised(sizes, prior) if len(sizes) else np.zeros((1, TERMS))
     y = y if len(y) else np.array([0.5])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean, spread, weights = _curve_of(x, y)
     ranges = (tuple(v.tolist()) for v in (x.min(axis=0), x.max(axis=0), mean, spread))
-    return Model(dictionaries[1], dictionaries[0], *ranges, _curve((x - mean) / spread, y))
+    return Model(dictionaries[1], dictionaries[0], prior, *ranges, weights)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -146,7 +186,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         m = holder.value
         measure = Measure(m.good, m.bad) if m.good else None
         for part, texts in rows_of(batches):
-            x = measure.terms(texts) if measure else np.full((len(texts), TERMS), np.nan)
+            x = measure.terms(texts, m.prior) if measure else np.full((len(texts), TERMS), np.nan)
             x = np.clip(x, m.low, m.high)  # the curve says nothing beyond the sample, e.g. on copies of the dictionaries' texts
             x = np.nan_to_num((x - m.mean) / m.spread)  # an empty text stands at the means
             score = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ np.array(m.weights[1:]), -35, 35)))

@@ -33,6 +33,19 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark, sf_dir):
     assert qc.train(docs, labels) == qc.train(docs, turned)
 
 
+def test_prior_needs_a_clear_gain():
+    rng = np.random.default_rng(1)
+    y = np.tile([1.0, 1.0, 0.0, 1.0, 0.0, 0.0], 60)
+    n = rng.integers(10, 60, len(y)).astype(float)
+    # short texts whose difference is a number of bytes, whatever their size: the larger the prior, the better
+    bad = n / 2 + np.where(y == 1, 4, -4) + rng.normal(0, 2, len(y))
+    sizes = np.column_stack([n, n / 2, bad])
+    assert qc.losses(sizes, y, 1024).sum() < qc.losses(sizes, y, 16).sum()
+    assert qc.chosen_prior(sizes, y, (16, 1024)) in (16, 1024) and qc.chosen_prior(sizes[:0], y[:0]) == qc.PRIORS[0]
+    noise = np.column_stack([n, n / 2, n / 2 + rng.normal(0, 1, len(y))])
+    assert qc.chosen_prior(noise, rng.permutation(y), (64, 64, 64)) == 64
+
+
 def test_edge_cases(spark):
     rng = random.Random(2)
     line = lambda end: " ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 9))) + end for _ in range(rng.randint(40, 200)))
