@@ -204,13 +204,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     asked = covered.select("doc_id", "h").distinct().withColumn("tasks", F.lit(None).cast("array<struct<a:int,near:int,far:int,open:boolean>>"))
     asked = _grouped(going).unionByName(asked).groupBy("doc_id", "h").agg(F.first("tasks", ignorenulls=True).alias("tasks"))
     asked = materialize(asked.select(F.col("doc_id").alias("asked_id"), F.col("h").alias("asked_h"), "tasks"), "repeats-asked")
-    held = keyed.filter(F.length("text") >= length).join(small(asked), _same("doc_id", "asked_id", "asked_h"))
+    held = keyed.filter(F.length("text") >= length).join(asked, _same("doc_id", "asked_id", "asked_h"))
     texts, parts = materialize(held.select("doc_id", "h", "text", "tasks"), "repeats-texts"), [covered]
     held = texts
     for turn, width in enumerate(WIDTHS):
         if turn:
             tasks = materialize(_grouped(going).select(F.col("doc_id").alias("asked_id"), F.col("h").alias("asked_h"), "tasks"), "repeats-tasks")
-            held = texts.drop("tasks").join(small(tasks), _same("doc_id", "asked_id", "asked_h"))
+            held = texts.drop("tasks").join(tasks, _same("doc_id", "asked_id", "asked_h"))
         covered, going = _ranked(_cut(held, length, width, not turn), length)
         parts.append(covered)
     every = parts[0]
@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(digests)], ["doc_id", "h", "spans", "kept_sha256"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    found = texts.join(small(found), _same("doc_id", "asked_id", "asked_h")).select("doc_id", "h", "text", "spans")
+    found = texts.join(found, _same("doc_id", "asked_id", "asked_h")).select("doc_id", "h", "text", "spans")
     found = found.mapInArrow(run, f"doc_id {kind}, h long, spans array<struct<start:int,end:int>>, kept_sha256 string")
     out = materialize(found.dropDuplicates(["doc_id", "h"]), "repeats-spans-found")
     discard(*parts, going, asked, texts)
