@@ -26,8 +26,10 @@ SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = (1 << 10, 256 << 10)
 BLOCK = 512
 #: Added to a text's size, so that a few bytes say little about a very short text. The training takes another of these than the first only if
-#: cross-validation among the curve's texts shows it to be better by more than the standard error; the first is best among the training rows of 10,000 documents.
+#: cross-validation among the curve's texts shows it to be better by more than two standard errors; the first is best among the training rows of 10,000 documents.
 PRIORS = (64, 16, 256, 1024)
+#: Fewer texts than these choose nothing.
+LEAST_TEXTS = 1000
 #: Parts of the curve's texts in the cross-validation.
 PARTS = 5
 TERMS = 2
@@ -113,13 +115,13 @@ def losses(sizes: np.ndarray, y: np.ndarray, prior: int, parts: int = PARTS) ->
 
 
 def chosen_prior(sizes: np.ndarray, y: np.ndarray, priors: tuple[int, ...] = PRIORS) -> int:
-    """The prior with the least loss, if it is less than the first one's by more than a standard error of their difference; else the first."""
-    if not len(y):
+    """The prior with the least loss, if it is less than the first one's by more than two standard errors of their difference; else, or of few texts, the first."""
+    if len(y) < LEAST_TEXTS:
         return priors[0]
     all_losses = [losses(sizes, y, prior) for prior in priors]
     best = int(np.argmin([x.sum() for x in all_losses]))
     gain = all_losses[0] - all_losses[best]
-    return priors[best] if gain.sum() > gain.std() * len(y) ** 0.5 else priors[0]
+    return priors[best] if gain.sum() > 2 * gain.std() * len(y) ** 0.5 else priors[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:

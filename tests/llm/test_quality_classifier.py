@@ -35,7 +35,7 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark, sf_dir):
 
 def test_prior_needs_a_clear_gain():
     rng = np.random.default_rng(1)
-    y = np.tile([1.0, 1.0, 0.0, 1.0, 0.0, 0.0], 60)
+    y = np.tile([1.0, 1.0, 0.0, 1.0, 0.0, 0.0], 200)
     n = rng.integers(10, 60, len(y)).astype(float)
     # short texts whose difference is a number of bytes, whatever their size: the larger the prior, the better
     bad = n / 2 + np.where(y == 1, 4, -4) + rng.normal(0, 2, len(y))
