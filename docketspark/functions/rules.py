@@ -38,6 +38,10 @@ def accepted_guesses(guess_allowed: Column, applicable: Column, confidence: Colu
     return F.when(guess_allowed & applicable & (confidence < GATE) & guesses.isNotNull(), kept).otherwise(F.array().cast("array<string>"))
 
 
+#: Names of features with this word only repeat what the source says.
+FEATURE = "기능"
+
+
 def quantity(x: Column) -> Column:
     """A whole number of pieces: rounded half up, missing or negative ones are 0."""
     return F.greatest(F.floor(F.coalesce(x.cast("double"), F.lit(0.0)) + 0.5), F.lit(0)).cast("long")
@@ -60,6 +64,36 @@ def shown_frequency(freq: Column, least: int = MIN_FREQUENCY) -> Column:
     return F.when(freq >= least, freq)
 
 
+def _explained(pairs: Column) -> Column:
+    """The (term, plain) of a list, trimmed, where neither is blank; an empty list for none."""
+    trimmed = F.transform(pairs, lambda p: F.struct(F.trim(F.coalesce(p["term"], F.lit(""))).alias("term"), F.trim(F.coalesce(p["plain"], F.lit(""))).alias("plain")))
+    return F.filter(F.coalesce(trimmed, F.array().cast("array<struct<term:string,plain:string>>")), lambda p: (p["term"] != "") & (p["plain"] != ""))
+
+
+def brief_terms(pairs: Column, source: Column) -> Column:
+    """Explanations of words that the source has, but for names of features; compared without white space and marks."""
+    said = e.squash(F.coalesce(source, F.lit("")))
+    return F.filter(_explained(pairs), lambda p: F.contains(said, e.squash(p["term"])) & ~F.contains(p["term"], F.lit(FEATURE)))
+
+
+def brief_concepts(pairs: Column, source: Column) -> Column:
+    """Explanations of what the source does not mention."""
+    said = e.squash(F.coalesce(source, F.lit("")))
+    return F.filter(_explained(pairs), lambda p: ~F.contains(said, e.squash(p["term"])))
+
+
+def tips(items: Column, least: int = MIN_FREQUENCY) -> Column:
+    """The (text, freq) of a list whose text is not blank, trimmed, rare ones without their frequency; an empty list for none."""
+    some = F.filter(F.coalesce(items, F.array().cast("array<struct<text:string,freq:int>>")), lambda x: F.coalesce(F.trim(x["text"]) != "", F.lit(False)))
+    return F.transform(some, lambda x: F.struct(F.trim(x["text"]).alias("text"), shown_frequency(x["freq"], least).alias("freq")))
+
+
+def keywords(items: Column) -> Column:
+    """The (term, count) of a list whose term is not blank, trimmed; a missing count is 1; an empty list for none."""
+    some = F.filter(F.coalesce(items, F.array().cast("array<struct<term:string,count:int>>")), lambda x: F.coalesce(F.trim(x["term"]) != "", F.lit(False)))
+    return F.transform(some, lambda x: F.struct(F.trim(x["term"]).alias("term"), F.coalesce(x["count"], F.lit(1)).alias("count")))
+
+
 def whitelisted(tags: Column, allowed: Sequence[str]) -> Column:
     """The distinct tags of a list that a vocabulary has, in the list's order; null for no list."""
     return F.array_distinct(F.filter(tags, lambda t: t.isin(*allowed)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from functools import reduce
 from typing import Protocol
 
@@ -166,17 +168,32 @@ def offline_model(text: str) -> str:
     return (text or "").split("\n", 1)[0][:80]
 
 
-def refresh(targets: DataFrame, key: str, text: str, client: Callable[[str], str] = offline_model) -> DataFrame:
-    """key, answer, error of each target; a failed call is a row with its error, told from an empty answer."""
+def refresh(targets: DataFrame, key: str, text: str, client: Callable[[str], str] = offline_model, concurrency: int = 4, seconds: float | None = None) -> DataFrame:
+    """key, answer, error and state of each target: done, failed (a row with its error, told from an empty answer) or not started.
+
+    A task has at most `concurrency` calls under way; calls of a slow service overlap, and rows come out as they are answered. `seconds` from
+    now no further call begins: calls under way are waited for, the rest comes back as not started, to be a target again.
+    """
+    deadline = time.time() + seconds if seconds is not None else float("inf")
+
+    def called(value: str) -> tuple[str | None, str | None, str]:
+        if time.time() >= deadline:
+            return None, None, "not started"
+        try:
+            return client(value), None, "done"
+        except Exception as ex:  # noqa: BLE001 - reported as data
+            return None, str(ex)[:200], "failed"
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                try:
-                    out.append((k, client(t), None))
-                except Exception as ex:  # noqa: BLE001 - reported as data
-                    out.append((k, None, str(ex)[:200]))
-            yield pd.DataFrame(out, columns=[key, "answer", "error"])
-
-    return targets.select(key, text).mapInPandas(run, f"{key} {targets.schema[key].dataType.simpleString()}, answer string, error string")
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                waiting, rows = {}, zip(pdf[key], pdf[text], strict=True)
+                more = True
+                while more or waiting:
+                    while len(waiting) < concurrency and (more := (row := next(rows, None)) is not None):
+                        waiting[pool.submit(called, row[1])] = row[0]
+                    if waiting:
+                        ready, _ = wait(waiting, return_when=FIRST_COMPLETED)
+                        yield pd.DataFrame([(waiting.pop(f), *f.result()) for f in ready], columns=[key, "answer", "error", "state"])
+
+    return targets.select(key, text).mapInPandas(run, f"{key} {targets.schema[key].dataType.simpleString()}, answer string, error string, state string")

@@ -41,8 +41,8 @@ def mapped(raw: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """One row per key, the latest of the batch."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
+    """One row per key, the latest of the batch; of rows with the same ordinal always the same one."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(ordinal), F.xxhash64(*rows.columns))
     return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
@@ -53,8 +53,8 @@ def split_known(rows: DataFrame, key: str, known: DataFrame, known_key: str) ->
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The next snapshot: old rows without those that new replaces, and the new rows."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """The next snapshot: old rows without those that new replaces, and the new rows; of new rows with the same keys one (last_wins() chooses which)."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

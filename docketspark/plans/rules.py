@@ -182,3 +182,35 @@ _renewal("renew_notes", "note_extract", "cancel_tags", derived.renew_notes)
 @query("rescan_meetings", f"SELECT id, project_id FROM timeline WHERE source = 'meeting' AND event_at >= {EVENTS_AS_OF} - INTERVAL 60 DAY")
 def rescan_meetings(t):
     return ingest.rescan(t.timeline.filter("source = 'meeting'"), "event_at", F.expr(EVENTS_AS_OF)).select("id", "project_id")
+
+
+_pairs = "[{'term': 'The', 'plain': 'article'}, {'term': concat(' ', substring(text, 9, 12), ' '), 'plain': 'own words'}, {'term': '관리 기능', 'plain': 'x'}, {'term': concat(lang, 'zzq'), 'plain': ' p '}, {'term': ' ', 'plain': 'q'}, {'term': 'of', 'plain': '  '}]"
+_hay = _sq("coalesce(text, '')")
+_filled = "list_filter([{'term': trim(p.term), 'plain': trim(p.plain)} FOR p IN pairs], lambda p: p.term <> '' AND p.plain <> '')"
+_said = f"contains(hay, {_sq('p.term')})"
+
+
+@query("brief_assembled", f"""SELECT doc_id, array_to_string([p.term || '=' || p.plain FOR p IN list_filter(pairs, lambda p: {_said} AND NOT contains(p.term, '기능'))], '|') AS terms,
+  array_to_string([p.term || '=' || p.plain FOR p IN list_filter(pairs, lambda p: NOT {_said})], '|') AS concepts
+FROM (SELECT doc_id, hay, {_filled} AS pairs FROM (SELECT doc_id, {_hay} AS hay, {_pairs} AS pairs FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) x) y""")
+def brief_assembled(t):
+    one = lambda term, plain: F.struct(term.alias("term"), F.lit(plain).alias("plain"))
+    own = F.concat(F.lit(" "), F.substring("text", 9, 12), F.lit(" "))
+    pairs = F.array(one(F.lit("The"), "article"), one(own, "own words"), one(F.lit("관리 기능"), "x"), one(F.concat("lang", F.lit("zzq")), " p "), one(F.lit(" "), "q"), one(F.lit("of"), "  "))
+    shown = lambda found: F.array_join(F.transform(found, lambda p: F.concat(p["term"], F.lit("="), p["plain"])), "|")
+    rows = t.documents.filter("text is not null and lang is not null")
+    return rows.select("doc_id", shown(rules.brief_terms(pairs, c("text"))).alias("terms"), shown(rules.brief_concepts(pairs, c("text"))).alias("concepts"))
+
+
+@query("tips_assembled", """SELECT event_id, array_to_string([x.text || ':' || coalesce(CASE WHEN x.freq >= 2 THEN x.freq END::VARCHAR, '-') FOR x IN list_filter([{'text': trim(t.text), 'freq': t.freq} FOR t IN tips], lambda x: x.text <> '')], '|') AS tips,
+  array_to_string([w.term || ':' || coalesce(w.n, 1)::VARCHAR FOR w IN list_filter([{'term': trim(k.term), 'n': k.n} FOR k IN words], lambda w: w.term <> '')], '|') AS keywords
+FROM (SELECT event_id, [{'text': concat(' ', event_type, ' '), 'freq': (user_id % 4)::INT}, {'text': CASE WHEN event_id % 3 = 0 THEN '  ' ELSE props END, 'freq': NULL}] AS tips,
+  [{'term': CASE WHEN event_id % 2 = 0 THEN ' ' ELSE event_type END, 'n': NULL}, {'term': ' user', 'n': user_id::INT}] AS words FROM events) e""")
+def tips_assembled(t):
+    tip = lambda text, freq: F.struct(text.alias("text"), freq.cast("int").alias("freq"))
+    items = F.array(tip(F.concat(F.lit(" "), "event_type", F.lit(" ")), c("user_id") % 4), tip(F.when(c("event_id") % 3 == 0, "  ").otherwise(c("props")), F.lit(None)))
+    word = lambda term, n: F.struct(term.alias("term"), n.cast("int").alias("count"))
+    words = F.array(word(F.when(c("event_id") % 2 == 0, " ").otherwise(c("event_type")), F.lit(None)), word(F.lit(" user"), c("user_id")))
+    tips = F.transform(rules.tips(items), lambda x: F.concat(x["text"], F.lit(":"), F.coalesce(x["freq"].cast("string"), F.lit("-"))))
+    keys = F.transform(rules.keywords(words), lambda w: F.concat(w["term"], F.lit(":"), w["count"].cast("string")))
+    return t.events.select("event_id", F.array_join(tips, "|").alias("tips"), F.array_join(keys, "|").alias("keywords"))

@@ -6,13 +6,13 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MAX_ROWS, MAX_FILES, MAX_BYTES = 500, 10, 4 << 20
 TEXT_KINDS = {"docx": "word/document.xml", "pptx": "ppt/slides/slide", "xlsx": "xl/worksheets/sheet"}
@@ -37,6 +37,61 @@ def read_changed(spark: SparkSession, url: str, table: str, ts: str, key: str, c
     return spark.read.jdbc(url, table, predicates=predicates, properties=options)
 
 
+class CursorSource(DataSource):
+    """A stream of a changing table: format("cursor"), whose offset is the (time, id) cursor of the last row; given rows and newest by cursor_source().
+
+    A batch holds the rows behind the cursor up to the newest one that has settled, so every row comes once, in whatever batch, also
+    those of equal times, and again only with a new time. The predicate goes to the source with each partition's share of the ids.
+    """
+
+    rows: Callable[[tuple[str, int], tuple[str, int], int, int], Iterator[tuple]] | None = None
+    newest: Callable[[], tuple[str, int] | None] | None = None
+    columns = ""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cursor"
+
+    def schema(self) -> str:
+        return type(self).columns
+
+    def streamReader(self, schema):
+        kind = type(self)
+        return CursorReader(kind.rows, kind.newest, int(self.options.get("partitions", "4")), self.options.get("cursor", "|0"))
+
+
+class CursorReader(DataSourceStreamReader):
+    def __init__(self, rows, newest, parts: int, cursor: str):
+        self.rows, self.newest, self.parts, self.cursor = rows, newest, parts, cursor
+
+    def initialOffset(self) -> dict:
+        ts, _, key = self.cursor.rpartition("|")
+        return {"ts": ts, "id": int(key)}
+
+    def latestOffset(self) -> dict:
+        last = self.newest()
+        return {"ts": last[0], "id": int(last[1])} if last else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        ends = [(o["ts"], o["id"]) for o in (start, end)]
+        return [InputPartition((*ends, i, self.parts)) for i in range(self.parts)] if ends[0] < ends[1] else []
+
+    def read(self, partition):
+        yield from self.rows(*partition.value)
+
+
+def cursor_source(columns: str, rows: Callable[[tuple[str, int], tuple[str, int], int, int], Iterator[tuple]], newest: Callable[[], tuple[str, int] | None]) -> type[CursorSource]:
+    """A source to register: rows(after, upto, part, parts) gives those with after < (time, id) <= upto whose id modulo parts is part, newest() the greatest
+    settled (time, id) or None. Both run anew for each batch and must be picklable; keyset_sql() is their predicate.
+    """
+    return type("Cursor", (CursorSource,), {"rows": staticmethod(rows), "newest": staticmethod(newest), "columns": columns})
+
+
+def keyset_sql(ts: str, key: str, mark: str = "?") -> str:
+    """The predicate of a batch with its eight parameters: after's time, time, id; upto's time, time, id; parts, part."""
+    return f"({ts} > {mark} OR ({ts} = {mark} AND {key} > {mark})) AND ({ts} < {mark} OR ({ts} = {mark} AND {key} <= {mark})) AND {key} % {mark} = {mark}"
+
+
 class PagedSource(DataSource):
     """Rows of a web interface that lists pages: format("paged"), with option pages and a fetch(page) -> list of (id, text) given to paged_source()."""
 
