@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docketspark.functions import exprs as e
 from docketspark.operators.selection import medians
-from docketspark.schema import MANAGERS, MIN_SAMPLE, REPORT_MONTHS
+from docketspark.schema import BUDGET_BANDS, CONTRACT_BANDS, MANAGERS, MIN_SAMPLE, PROPOSAL_BANDS, REPORT_MONTHS, RISK_TOP_N, SUPPLY_MIN_SAMPLE
+from docketspark.sources.snapshots import keep
 
 
 def window(projects: DataFrame, as_of: Column, days: int | None) -> DataFrame:
@@ -104,3 +105,63 @@ def top_share(groups: DataFrame, top: int = 3) -> DataFrame:
     """The first labels by count with their rank."""
     order = Window.orderBy(F.desc("n"), "label")  # one row per label
     return groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+#: The parts of the report: by which label cases are grouped, for which cases.
+SECTIONS = ("totals", "budget", "scope", "proposals", "low_proposals", "contract", "month", "cancel_stage", "risk", "risk_pool", "cancel", "cancel_pool", "supply", "supply_baseline")
+
+
+def counted_sections(projects: DataFrame, insights: DataFrame) -> DataFrame:
+    """section, label and the counts of live cases (n, won, decided, cancelled, pending, low: decided ones with few proposals), amounts and the least sort key.
+
+    One pass: every case is read once with its tags, stands under each label that it has, and all groups are counted together before the shuffle. So all
+    parts of a report are of the same rows. The table has a row per section and label.
+    """
+    col, tagged = F.col, lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    one = lambda section, label, when=None, key=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(section).alias("section"), label.cast("string").alias("label"), (key if key is not None else F.lit(None)).cast("long").alias("key")))
+    single = F.array(
+        one("totals", F.lit("")),
+        one("budget", e.band(col("budget"), BUDGET_BANDS), col("budget").isNotNull() & ~col("budget_monthly"), col("budget")),
+        one("scope", col("dev_scope"), col("dev_scope").isNotNull()),
+        one("proposals", e.band(col("proposal_count"), PROPOSAL_BANDS), col("proposal_count").isNotNull(), col("proposal_count")),
+        one("low_proposals", F.concat(col("proposal_count").cast("string"), F.lit("건")), e.low_supply()),
+        one("contract", e.band(col("contract_amount"), CONTRACT_BANDS), col("contract_amount") > 0),
+        one("month", F.date_format(e.kst(col("recruit_started_at")), "yyyy-MM"), col("recruit_started_at").isNotNull()),
+        one("cancel_stage", col("cancel_stage"), col("cancel_stage").isNotNull()),
+        one("risk_pool", F.lit(""), F.size(tagged("risk_tags")) > 0),
+        one("cancel_pool", F.lit(""), F.size(tagged("cancel_tags")) > 0),
+        one("supply_baseline", F.lit(""), col("supply_tags").isNotNull() & (F.size("supply_tags") == 0) & e.decided()),
+    )
+    by_tag = lambda kind: F.transform(tagged(f"{kind}_tags"), lambda t: F.struct(F.lit(kind).alias("section"), t.alias("label"), F.lit(None).cast("long").alias("key")))
+    many = [by_tag("risk"), by_tag("cancel")]
+    supply = F.when(e.decided(), by_tag("supply"))
+    rows = projects.filter(e.live()).join(insights.select(col("project_id").alias("tagged_id"), "risk_tags", "cancel_tags", "supply_tags"), col("id") == col("tagged_id"), "left")
+    paid = F.when(col("contract_amount") > 0, col("contract_amount"))
+    flags = {"won": e.won(), "decided": e.decided(), "cancelled": e.cancelled(), "pending": e.pending(), "low": e.decided() & e.low_supply()}
+    rows = rows.select(*[f.alias(n) for n, f in flags.items()], paid.alias("paid"), F.inline(F.concat(F.array_compact(single), *many, F.coalesce(supply, F.array().cast("array<struct<section:string,label:string,key:bigint>>")))))
+    out = rows.groupBy("section", "label").agg(F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in flags], F.count("paid").alias("paid"), F.sum("paid").alias("amount"), F.min("paid").alias("least"), F.max("paid").alias("most"), F.min("key").alias("sort_key"))
+    return keep(out, "report-sections")
+
+
+def section(counted: DataFrame, name: str) -> DataFrame:
+    """label, decided, rate (and pool, where a share of a pool is meant) of one part of the report, with that part's least sample and order."""
+    rows, label = counted.filter(F.col("section") == name), F.col("label")
+    won = e.percent(F.col("won"), F.col("decided"))
+    if name in ("budget", "proposals", "scope"):
+        rows = rows.filter(F.col("decided") >= MIN_SAMPLE).select("label", "decided", won.alias("rate"), "sort_key")
+        return rows.orderBy(*([F.col("rate").desc_nulls_first(), "label"] if name == "scope" else ["sort_key"])).drop("sort_key")
+    if name == "low_proposals":
+        return rows.select("label", "decided", won.alias("rate"))
+    if name == "month":
+        return rows.select("label", "decided", won.alias("rate")).orderBy(F.desc("label")).limit(REPORT_MONTHS).orderBy("label")
+    if name in ("contract", "cancel_stage"):
+        return rows.select("label", "n", e.percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("rate"))  # one row per label
+    if name == "supply":
+        return rows.filter(F.col("n") >= SUPPLY_MIN_SAMPLE).select("label", F.col("n").alias("decided"), e.percent(F.col("low"), F.col("n")).alias("rate"))
+    if name == "supply_baseline":
+        return rows.select(F.col("n").alias("decided"), e.percent(F.col("low"), F.col("n")).alias("rate"))
+    if name in ("risk", "cancel"):
+        pool = counted.filter(F.col("section") == f"{name}_pool").select(F.col("n").alias("pool"))
+        ranked = rows.select("label", F.col("n").alias("decided")).join(F.broadcast(pool)).withColumn("rate", e.percent(F.col("decided"), F.col("pool")))  # one row
+        return ranked.orderBy(F.desc("decided"), "label").limit(RISK_TOP_N) if name == "risk" else ranked
+    raise ValueError(f"no part of the report: {name}")

@@ -152,3 +152,26 @@ def join_left_insights(t):
 @query("explode_tags", "SELECT project_id, unnest(risk_tags) AS tag FROM insights")
 def explode_tags(t):
     return t.insights.select("project_id", F.explode("risk_tags").alias("tag"))
+
+
+def _counts(section: str, label: str, where: str = "TRUE", rows: str = "projects") -> str:
+    paid = "FILTER (WHERE contract_amount > 0)"
+    return f"""SELECT '{section}' AS section, {label} AS label, count(*) AS n, count(*) FILTER (WHERE {WON}) AS won, {N_DECIDED} AS decided, count(*) FILTER (WHERE status = '완료(취소)') AS cancelled,
+  count(*) FILTER (WHERE stage < 3 AND status <> '완료(취소)') AS pending, count(*) FILTER (WHERE {DECIDED} AND proposal_count BETWEEN 1 AND {LOW_SUPPLY_MAX}) AS low, count(*) {paid} AS paid, (sum(contract_amount) {paid})::DOUBLE AS amount
+FROM {rows} WHERE {LIVE} AND {where} GROUP BY 2"""
+
+
+_tagged = "(SELECT p.*, risk_tags, cancel_tags, supply_tags FROM projects p JOIN insights ai ON ai.project_id = p.id) x"
+_by_tag = lambda kind: f"(SELECT p.*, unnest({kind}_tags) AS tag FROM projects p JOIN insights ai ON ai.project_id = p.id) x"
+_SECTIONS = " UNION ALL ".join([
+    _counts("totals", "''"), _counts("budget", band_sql("budget", BUDGET_BANDS), "budget IS NOT NULL AND NOT budget_monthly"), _counts("scope", "dev_scope", "dev_scope IS NOT NULL"),
+    _counts("proposals", band_sql("proposal_count", PROPOSAL_BANDS), "proposal_count IS NOT NULL"), _counts("low_proposals", "proposal_count::VARCHAR || '건'", f"proposal_count BETWEEN 1 AND {LOW_SUPPLY_MAX}"),
+    _counts("contract", band_sql("contract_amount", CONTRACT_BANDS), "contract_amount > 0"), _counts("month", "strftime(recruit_started_at + INTERVAL 9 HOUR, '%Y-%m')", "recruit_started_at IS NOT NULL"),
+    _counts("cancel_stage", "cancel_stage", "cancel_stage IS NOT NULL"), *[_counts(k, "tag", rows=_by_tag(k)) for k in ("risk", "cancel")], _counts("supply", "tag", DECIDED, _by_tag("supply")),
+    *[_counts(f"{k}_pool", "''", f"len({k}_tags) > 0", _tagged) for k in ("risk", "cancel")], _counts("supply_baseline", "''", f"len(supply_tags) = 0 AND {DECIDED}", _tagged),
+])
+
+
+@query("report_sections", _SECTIONS)
+def report_sections(t):
+    return r.counted_sections(t.projects, t.insights).select("section", "label", "n", "won", "decided", "cancelled", "pending", "low", "paid", F.col("amount").cast("double").alias("amount"))
