@@ -166,3 +166,19 @@ def last_sync(t):
 def notifications(t):
     """The source has no notifications: always empty."""
     return t.projects.select("id", "title").limit(0)
+
+
+_TOKENS = ("Tion", "the by", "été", "zzqx", "of")
+
+
+@query("search_by_index", " UNION ALL ".join(f"SELECT '{w}' AS token, doc_id FROM documents WHERE contains(lower(text), lower('{w}'))" for w in _TOKENS))
+def search_by_index(t):
+    from docketspark.operators import search_index
+
+    texts = t.documents.select("doc_id", "text")
+    index = search_index.build(texts, "doc_id", "text")
+    found = [search_index.matches(index, texts, "doc_id", "text", w).select(F.lit(w).alias("token"), "doc_id") for w in _TOKENS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
