@@ -167,8 +167,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int
     of another length than the smallest id's. Of rows with the same id one counts, that with the smallest vector. With fewer than k
     candidates all are returned; no usable vector or query gives no rows. Other columns do not matter.
 
-    Recall falls with how little the vectors' directions have in common with each other's: on directions without any structure (the
-    hardest case) 32 orderings find over 0.9 of the 20 nearest; more orderings find more.
+    Recall falls with how little the vectors' directions have in common with each other's, and with their number: on directions without any
+    structure (the hardest case) 32 orderings find 0.98 of the 20 nearest of 50,000 vectors, 0.92 of 200,000, 0.86 of 500,000; more orderings find more.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
