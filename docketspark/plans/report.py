@@ -175,3 +175,10 @@ _SECTIONS = " UNION ALL ".join([
 @query("report_sections", _SECTIONS)
 def report_sections(t):
     return r.counted_sections(t.projects, t.insights).select("section", "label", "n", "won", "decided", "cancelled", "pending", "low", "paid", F.col("amount").cast("double").alias("amount"))
+
+
+@query("tags_by_bitmap", f"SELECT label, n FROM (SELECT tag AS label, count(DISTINCT id) AS n FROM {_by_tag('risk')} WHERE {LIVE} GROUP BY 1) y")
+def tags_by_bitmap(t):
+    from docketspark.operators import tag_index
+
+    return tag_index.counts(tag_index.build(t.insights, "project_id", "risk_tags"), t.projects.filter(e.live()).select(F.col("id").alias("key")))
