@@ -15,7 +15,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, numbered, small
@@ -70,31 +70,30 @@ def _text(column: Column | str) -> Column:
 
 
 def candidates(docs: DataFrame, text: str, keys: list[str], path: str | None = None) -> DataFrame:
-    """keys, start, end (code points, end exclusive), value, before, after and path of every candidate in the whole texts.
+    """keys, place (from 0 in each text), start, end (code points, end exclusive), value, before, after and path of every candidate in the whole texts.
 
     A candidate is a private key block, a value of at least 8 characters assigned to a name such as token, the same with a digit right behind
-    any name and =, or an unbroken run of at least 16 letters, digits and +/_- with a digit. Null and empty texts have none.
+    any name and =, or an unbroken run of at least 16 letters, digits and +/_- with a digit. Null and empty texts have none; rows of equal
+    keys and text count once, with the smallest path. Starts are running sums over a text's gaps and candidates, so that time grows
+    in proportion to the candidates, however many a text has.
     """
     t = _text(text)
     found = docs.filter(may_hold(F.col(text))).select(
-        *keys, _text(path).alias("path") if path else F.lit("").alias("path"), F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("hits")
+        *keys, F.xxhash64(text).alias("__h"), (_text(path) if path else F.lit("")).alias("path"), F.split(t, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("hits")
     )
-    # the place of each hit: what stands before it, gap by gap
-    step = F.aggregate(
-        F.arrays_zip(F.expr("slice(gaps, 1, size(hits))").alias("gap"), F.expr("slice(gaps, 2, size(hits))").alias("next"), F.col("hits").alias("hit"), F.expr("concat(array(''), slice(hits, 1, size(hits) - 1))").alias("last")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,hit:string,before:string,after:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("at"), x["hit"].alias("hit"), F.right(F.when(x["gap"] == "", x["last"]).otherwise(x["gap"]), F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(AFTER)).alias("after")))).alias("out"),
-        ),
-        lambda s: s["out"],
+    last = F.expr("concat(array(''), slice(hits, 1, size(hits) - 1))")
+    parts = F.arrays_zip(F.expr("slice(gaps, 1, size(hits))").alias("gap"), F.expr("slice(gaps, 2, size(hits))").alias("next"), F.col("hits").alias("hit"), last.alias("last"))
+    rows = found.select(*keys, "__h", "path", F.posexplode(parts).alias("place", "c"))
+    behind = F.when(F.col("c.gap") == "", F.col("c.last")).otherwise(F.col("c.gap"))
+    rows = rows.select(
+        *keys, "__h", "path", "place", F.length("c.gap").alias("skip"), F.col("c.hit").alias("hit"), F.right(behind, F.lit(BEFORE)).alias("before"), F.left("c.next", F.lit(AFTER)).alias("after")
     )
-    rows = found.select(*keys, "path", F.explode(step).alias("c"))
-    prefix = F.regexp_extract("c.hit", _PREFIX, 0)
-    rows = rows.select(*keys, "path", "c.at", "c.hit", "c.after", prefix.alias("prefix"), F.concat("c.before", prefix).alias("before"))
-    start = F.col("at") + F.length("prefix")
+    rows = rows.groupBy(*keys, "__h", "place", "skip", "hit", "before", "after").agg(F.min("path").alias("path"))
+    so_far = Window.partitionBy(*keys, "__h").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = F.regexp_extract("hit", _PREFIX, 0)
+    rows = rows.withColumns({"end": F.sum(F.col("skip") + F.length("hit")).over(so_far), "prefix": prefix})
     value = F.substring(F.col("hit"), F.length("prefix") + 1, F.length("hit"))
-    return rows.select(*keys, start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), "before", "after", "path")
+    return rows.select(*keys, "place", (F.col("end") - F.length(value)).alias("start"), "end", value.alias("value"), F.concat("before", "prefix").alias("before"), "after", "path")
 
 
 def letter_runs(rows: DataFrame) -> DataFrame:
@@ -218,16 +217,14 @@ def train(findings: DataFrame, rows: int = TRAINING_ROWS, trees: int = TREES, de
 
 
 def scan(docs: DataFrame, model: PipelineModel | None = None, text: str = "text", doc_id: str = "doc_id", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """Candidates with verdicts: doc_id, text_hash (xxhash64 of the text), start, end, value, before, after, path, score and secret.
+    """Candidates with verdicts: doc_id, text_hash (xxhash64 of the text), place, start, end, value, before, after, path, score and secret.
 
     Each distinct (doc_id, text) counts once, so repeated rows share their candidates. A null doc_id stays null. Without a model one is
     trained on example_findings with phrases of the corpus' own words, whose coverage comes from the same dictionary. A document without candidates, a null or empty text and an empty table give no rows.
     """
     docs, (text, doc_id, path) = numbered(docs, text, doc_id, path)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), (F.col(path) if path else F.lit("")).cast("string").alias("path"))
-    found = candidates(rows, "text", ["doc_id", "text_hash"], "path")
-    found = found.groupBy("doc_id", "text_hash", "start", "end").agg(*[F.min(c).alias(c) for c in ("value", "before", "after", "path")])
-    found = materialize(found, "secrets-candidates")
+    found = materialize(candidates(rows, "text", ["doc_id", "text_hash"], "path"), "secrets-candidates")
     runs = letter_runs(found)
     if model is None:
         examples = materialize(example_findings(docs.sparkSession, words=example_words(found)), "secrets-examples")
@@ -236,7 +233,7 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, text: str = "text"
     rows = materialize(with_coverage(found, words), "secrets-covered")
     model = model or train(with_coverage(examples, words))
     scored = model.transform(with_features(rows)).withColumn("score", vector_to_array("probability")[1])
-    scored = scored.select("doc_id", "text_hash", "start", "end", "value", "before", "after", "path", "score", (F.col("score") >= threshold).alias("secret"))
+    scored = scored.select("doc_id", "text_hash", "place", "start", "end", "value", "before", "after", "path", "score", (F.col("score") >= threshold).alias("secret"))
     return materialize(scored, "secrets-scored")
 
 
@@ -260,21 +257,20 @@ def report(docs: DataFrame, model: PipelineModel | None = None, text: str = "tex
 def redact(docs: DataFrame, model: PipelineModel | None = None, text: str = "text", doc_id: str = "doc_id", path: str | None = "source", mark: str = MARK) -> DataFrame:
     """docs with every confirmed secret in the text replaced by `mark`; all rows and columns stay, other texts unchanged.
 
-    Few spans are broadcast; of many, only documents with candidates are joined with them, the others pass by without a shuffle.
+    Few documents' verdicts are broadcast; of many, only documents with candidates are joined with them, the others pass by without a shuffle.
     """
     names = docs.columns
-    found = spans(scan(docs, model, text, doc_id, path).filter("secret"))
-    found = materialize(found.select(F.col("doc_id").alias("known"), F.col("text_hash").alias("known_hash"), F.col("secrets").alias("spans")), "secrets-spans")
+    listed = F.sort_array(F.collect_list(F.struct("place", "secret")))
+    found = scan(docs, model, text, doc_id, path).groupBy("doc_id", "text_hash").agg(F.count_if("secret").alias("n"), listed.alias("listed")).filter("n > 0")
+    found = materialize(found.select(F.col("doc_id").alias("known"), F.col("text_hash").alias("known_hash"), F.col("listed.secret").alias("flags")), "secrets-flags")
     docs, (text, doc_id) = numbered(docs, text, doc_id)
     columns = docs.columns
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = (docs if few else docs.filter(may_hold(F.col(text)))).withColumn("hash", F.xxhash64(text))
     rows = rows.join(F.broadcast(found) if few else found, F.col(doc_id).eqNullSafe(F.col("known")) & (F.col("hash") == F.col("known_hash")), "left")
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))),
-    )
-    clean = rows.withColumn(text, F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(text))).select(*columns)
+    # the text's gaps and candidates are put together again, in one pass
+    hits = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
+    marked = F.zip_with(hits, "flags", lambda hit, secret: F.when(secret, F.concat(F.regexp_extract(hit, _PREFIX, 0), F.lit(mark))).otherwise(hit))
+    joined = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), marked, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
+    clean = rows.withColumn(text, F.when(F.col("flags").isNotNull(), joined).otherwise(F.col(text))).select(*columns)
     return (clean if few else docs.filter(~may_hold(F.col(text))).unionByName(clean)).toDF(*names)

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -113,3 +114,21 @@ def test_unquoted_assignments_to_any_name(spark, model):
         assert texts[i] == f"first line\n{line[: line.rindex('=') + 1]}[secret]\nlast line"
     for i, line in enumerate(harmless, len(found)):
         assert by_id[i].n_candidates and not by_id[i].n_secrets, line
+
+
+def test_very_many_candidates_in_one_text(spark, model):
+    """Places and redaction of 50,000 candidates in one text, against a plain search."""
+    lines = [f'token = "{hashlib.sha1(b"%d" % i).hexdigest()}" of ß𝄞 {i}' if i % 2 else f"order {10**15 + i} is on its way" for i in range(50_000)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame(_rows(text, "nothing here") + _rows(text)[:1], SCHEMA)
+    found = secrets.candidates(docs, "text", ["doc_id"]).collect()
+    want = [(m.start() + len(p[0]) if (p := re.match(secrets._PREFIX, m[0])) else m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+    assert [(r.place, r.start, r.end) for r in sorted(found, key=lambda r: r.place)] == [(i, *w) for i, w in enumerate(want)] and len(want) == 50_000
+    spans = [r.secrets for r in secrets.report(docs, model).filter("doc_id = 0").collect()]
+    assert len(spans) == 2 and spans[0] == spans[1] and len(spans[0]) >= 24_000
+    out, at = [], 0
+    for s in spans[0]:
+        out += [text[at : s.start], secrets.MARK]
+        at = s.end
+    clean = [r.text for r in secrets.redact(docs, model).filter("doc_id = 0").collect()]
+    assert clean == ["".join(out) + text[at:]] * 2
