@@ -154,6 +154,11 @@ def squash(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"[{WHITE_SPACE}{QUOTE_MARKS}]", ""))
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"\A[{WHITE_SPACE}]+|(?<![{WHITE_SPACE}])[{WHITE_SPACE}]+\z", "")
+
+
 def null_if_blank_number(text: Column) -> Column:
     """Number of a text; null if missing, blank or no number."""
     return F.nullif(F.trim(text), F.lit("")).try_cast("double")

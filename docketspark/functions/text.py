@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,45 +20,31 @@ TRANSCRIPT_LINE = r"^\[?([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\]?\s*([^:]+):\s*(.*)
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 CHUNK = 60_000
 
-_heads = ((0, re.compile(r"\[.*\]$")), (2, re.compile(r"\d+-\d+\.\s")), (1, re.compile(r"\d+\.\s")))
-_absent = re.compile(f"{ABSENT_END}|{ABSENT_LINE}")
+_SPACE = f"[{WHITE_SPACE}]"
+_ABSENT = f"{ABSENT_END}|{ABSENT_LINE}".replace(r".\s]", f".{WHITE_SPACE}]").replace(r"[-\s]", f"[-{WHITE_SPACE}]").replace(r"\s", _SPACE)
+#: What a line is, by its trimmed text: headings of rank 0 to 2, x states an absence, b is blank, p plain text.
+LINE_KINDS = (("0", r"^\[.*\]$"), ("2", rf"^[0-9]+-[0-9]+\.{_SPACE}"), ("1", rf"^[0-9]+\.{_SPACE}"), ("x", _ABSENT), ("b", "^$"))
+#: A heading of rank r is empty if no plain line comes before the next heading of rank r or higher.
+_EMPTY = "0(?![12bx]*+p)|1(?![2bx]*+p)|2(?![bx]*+p)"
 
 
-def _depth(line: str) -> int | None:
-    text = line.strip()
-    return next((d for d, p in _heads if p.match(text)), None)
-
-
-def clean(md: str) -> str:
-    """md without lines that state an absence and without headings that have nothing under them.
+def clean_posting(text: Column | str) -> Column:
+    """text without lines that state an absence and without headings that have nothing under them; runs of blank lines become one.
 
-    Read from the end, a heading is empty if what follows it first is the end or a heading of its own or a higher rank.
+    A heading has nothing under it if no plain line stands between it and the next heading of its own or a higher rank. Each line's kind is
+    one letter, so that the headings go by one pattern over the letters; all in the JVM, in time proportional to the text. Null stays null.
     """
-    kept: list[str] = []
-    below: int | None = -1  # rank of the next filled line: -1 the end, None plain text
-    for line in reversed(md.split("\n")):
-        depth = _depth(line)
-        text = line.strip()
-        if depth is None:
-            if _absent.search(text):
-                continue
-            if text:
-                below = None
-        elif below is not None and below <= depth:
-            continue
-        else:
-            below = depth
-        kept.append(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(reversed(kept))).strip()
-
-
-def clean_posting(text: Column | str) -> Column:
-    """clean() of a column, in Arrow batches."""
+    t = F.col(text) if isinstance(text, str) else text
+    lines = F.split(t, "\n", -1)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(clean, na_action="ignore")
+    def kind(line: Column) -> Column:
+        trimmed = e.trimmed(line)
+        first, *others = LINE_KINDS
+        return reduce(lambda w, k: w.when(trimmed.rlike(k[1]), k[0]), others, F.when(trimmed.rlike(first[1]), first[0])).otherwise("p")
 
-    return F.pandas_udf(run, "string")(text)
+    kinds = F.regexp_replace(F.array_join(F.transform(lines, kind), ""), _EMPTY, "x")
+    kept = F.filter(F.arrays_zip(lines.alias("line"), F.split(kinds, "", -1).alias("kind")), lambda z: z["kind"] != "x")
+    return e.trimmed(F.regexp_replace(F.array_join(F.transform(kept, lambda z: z["line"]), "\n"), "\n{3,}", "\n\n"))
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:

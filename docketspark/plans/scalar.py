@@ -140,9 +140,27 @@ def phone_digits(t):
     return t.customer.select("c_custkey", e.phone_digits(raw).alias("phone"))
 
 
-@query("clean_posting")
+# ---- a posting of a document: a line per four words; some lines are headings or state an absence, by their first letter
+_POSTING = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '((?:[^\s]+ ){3}[^\s]+) ', '\1' || chr(10), 'g'),
+  '(?m)^([a-c][^\n]*)', '[\1]', 'g'), '(?m)^([d-h])', '1. \1', 'g'), '(?m)^([i-n])', '2-1. \1', 'g'), '(?m)^([o-s][^\n]*)', '- \1 정보 없음.', 'g')"""
+_CLEAN_SQL = rf"""
+WITH d AS (SELECT doc_id, {_POSTING} AS md FROM documents),
+l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM d),
+k AS (SELECT doc_id, line, i, CASE WHEN regexp_matches(t, '^\[.*\]$') THEN 0 WHEN regexp_matches(t, '^[0-9]+-[0-9]+\.\s') THEN 2 WHEN regexp_matches(t, '^[0-9]+\.\s') THEN 1
+    WHEN regexp_matches(t, '{x.ABSENT_END}|{x.ABSENT_LINE}') THEN 5 WHEN t = '' THEN 4 ELSE 3 END AS kind
+  FROM (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l) z),
+w AS (SELECT *, min(i) FILTER (WHERE kind = 3) OVER f AS plain, min(i) FILTER (WHERE kind = 0) OVER f AS h0, min(i) FILTER (WHERE kind <= 1) OVER f AS h1, min(i) FILTER (WHERE kind <= 2) OVER f AS h2
+  FROM k WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+j AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE kind IN (3, 4) OR kind < 3 AND plain < coalesce(CASE kind WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END, i + 1000000000)), '') AS md FROM w GROUP BY doc_id)
+SELECT d.doc_id, regexp_replace(regexp_replace(j.md, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM d LEFT JOIN j USING (doc_id)"""
+
+
+@query("clean_posting", _CLEAN_SQL)
 def clean_posting(t):
-    return t.documents.select("doc_id", x.clean_posting("text").alias("clean"))
+    text = F.regexp_replace("text", r"((?:[^\s]+ ){3}[^\s]+) ", "$1\n")
+    for pattern, put in ((r"(?m)^([a-c][^\n]*)", "[$1]"), ("(?m)^([d-h])", "1. $1"), ("(?m)^([i-n])", "2-1. $1"), (r"(?m)^([o-s][^\n]*)", "- $1 정보 없음.")):
+        text = F.regexp_replace(text, pattern, put)
+    return t.documents.select("doc_id", x.clean_posting(text).alias("clean"))
 
 
 @query("chunk_lines")

@@ -1,5 +1,7 @@
 import io
 import json
+import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -30,10 +32,33 @@ def test_rounding_and_money(spark):
     assert _one(spark, e.phone_digits(F.lit("+82-10-1234-5678"))) == "01012345678"
 
 
-def test_clean_posting():
+def _cleaned(md):
+    """Headings that nothing filled follows go, round by round, until none does."""
+    rank = lambda line: next((r for r, p in ((0, r"\[.*\]$"), (2, r"[0-9]+-[0-9]+\.\s"), (1, r"[0-9]+\.\s")) if re.match(p, line.strip())), None)
+    lines = [z for z in md.split("\n") if rank(z) is not None or not re.search(f"{x.ABSENT_END}|{x.ABSENT_LINE}", z.strip())]
+    while True:
+        filled = [i for i, z in enumerate(lines) if z.strip()]
+        behind = {i: rank(lines[n]) if n is not None else -1 for i, n in zip(filled, [*filled[1:], None])}
+        empty = {i for i in filled if (r := rank(lines[i])) is not None and behind[i] is not None and behind[i] <= r}
+        if not empty:
+            return re.sub(r"\n{3,}", "\n\n", "\n".join(z for i, z in enumerate(lines) if i not in empty)).strip()
+        lines = [z for i, z in enumerate(lines) if i not in empty]
+
+
+def test_clean_posting_equals_rounds(spark):
+    rng = random.Random(5)
+    pool = ["[가]", " [b] ", "1. a", "12. 나", "1-2. c", "3-1. d ", "text", "- 외부 연동 없음", "- 정보 없음.", "미정", "", "  ", "\u3000", "1.", "[x] y"]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 14))) for _ in range(2000)] + ["", None, "[a]\n" * 100_000, "1. a\n" * 50_000 + "end", "\n" * 100_000 + "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", x.clean_posting("t").alias("clean"))
+    for r in rows.collect():
+        want = texts[r.id] if texts[r.id] in (None, "") else "1. a\nend" if r.id == 2003 else _cleaned(texts[r.id])
+        assert r.clean == want, texts[r.id][:200]
+
+
+def test_clean_posting(spark):
     md = "[개요]\n1. 목적\n- 쇼핑몰\n2. 범위\n2-1. 화면\n- 미정\n2-2. 관리\n- 정보 없음.\n3. 연동\n- 외부 연동 없음\n[끝]\n"
-    assert x.clean(md) == "[개요]\n1. 목적\n- 쇼핑몰\n3. 연동\n- 외부 연동 없음"
-    assert x.clean("") == ""
+    assert _one(spark, x.clean_posting(F.lit(md))) == "[개요]\n1. 목적\n- 쇼핑몰\n3. 연동\n- 외부 연동 없음"
+    assert _one(spark, x.clean_posting(F.lit(""))) == ""
 
 
 def test_chunks_restore_the_text():

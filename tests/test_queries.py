@@ -10,4 +10,4 @@ def test_queries_equal_their_sql(spark, sf_dir):
     found = differences(spark, sf_dir, list(queries), queries, sql)
     assert {n: d for n, d in found.items() if d[0] not in ("same", "rows only")} == {}
     assert {n for n, d in found.items() if not d[1]} <= MAY_BE_EMPTY
-    assert set(queries) - set(sql) == {"clean_posting", "chunk_lines"}
+    assert set(queries) - set(sql) == {"chunk_lines"}
