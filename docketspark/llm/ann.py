@@ -1,12 +1,16 @@
 """Nearest neighbours by inner product through several shifted Hilbert orderings.
 
-Vectors are projected at random onto a few dimensions, shifted, and laid on a Hilbert curve, ORDERINGS times. Each ordering is cut
+Vectors are projected at random onto a few dimensions, shifted, and laid on a Hilbert curve, once for each ordering. Each ordering is cut
 into blocks of consecutive keys. A query is compared with the vectors of its own block and of the two beside it in every ordering, and what
 these windows find is merged and ranked by the exact inner product. The first orderings' answers are a bound: the others report only
 what is not below it.
 
+How many orderings are needed depends on the directions and their number, so it is measured: a sample of queries is compared with
+all vectors, and rounds of orderings follow until the windows have found the wanted share of the sample's neighbours. If more than
+LIMIT orderings would be needed, a last round lets every query meet all blocks of one ordering, which is exact.
+
 A block holds about BLOCK_SCALE times the square root of the number of distinct vectors, so a query meets
-3 x ORDERINGS x BLOCK_SCALE x sqrt(n) vectors, whatever the data. Equal vectors are one entry with their smallest ids, so that a
+3 x BLOCK_SCALE x sqrt(n) vectors in an ordering, whatever the data. Equal vectors are one entry with their smallest ids, so that a
 vector that fills a third of the table takes one place in a block. Keys end in a hash, so that near copies are cut apart as well.
 """
 
@@ -20,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, released, small
 
-ORDERINGS = 32
-#: Of them, those whose answers bound what the others report.
-FIRST = 6
+#: Orderings of the first round, whose answers bound what the others report, and of a later round at most.
+FIRST, ROUND = 6, 32
+#: Beyond so many orderings all blocks are searched instead.
+LIMIT = 256
+#: The share of the nearest that the windows have to find, and how many queries measure it.
+RECALL, MEASURED = 0.97, 256
 DIMENSIONS = 8
 BITS = 6
 #: Vectors in a block: this times the square root of their number, MIN_BLOCK at least.
@@ -81,12 +88,11 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids")
 
 
-def _frames(d: int, orderings: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _frames(d: int, orderings: range, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Orthonormal projections (orderings x dimensions x (d + 1)) and shifts of the grid (orderings x dimensions)."""
-    rng = np.random.default_rng(seed)
     k = min(d + 1, DIMENSIONS)
-    frames = np.stack([np.linalg.qr(rng.standard_normal((d + 1, k)))[0].T for _ in range(orderings)])
-    return frames, rng.random((orderings, k))
+    rngs = [np.random.default_rng((seed, o)) for o in orderings]
+    return np.stack([np.linalg.qr(r.standard_normal((d + 1, k)))[0].T for r in rngs]), np.stack([r.random(k) for r in rngs])
 
 
 def curve_keys(v: np.ndarray, scale: float, longest: float, frames: np.ndarray, shifts: np.ndarray, query: bool) -> np.ndarray:
@@ -159,23 +165,68 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int = ORDERINGS, vec_id: str = "vec_id", vector: str = "embedding", seed: int = SEED) -> DataFrame:
+def _pack(v: np.ndarray, kind: str, member: np.ndarray, own: np.ndarray, many: np.ndarray, ids: np.ndarray):
+    """(block, packed vectors, their ids, members) of every block; own: the blocks of the members, which are rows of v."""
+    at = np.cumsum(many) - many
+    order = np.argsort(own, kind="stable")
+    own, member = own[order], member[order]
+    edges = np.flatnonzero(np.diff(own)) + 1
+    for block, part in zip(own[np.concatenate([[0], edges])].tolist(), np.split(member, edges), strict=True):
+        size = many[part]
+        entry = np.repeat(at[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        yield block, v[part].astype(kind).tobytes(), ids[entry], part
+
+
+def _exact(entries: DataFrame, queries: DataFrame, k: int, d: int, kind: str) -> DataFrame:
+    """query_id and best, as _top() has them, of a few queries (v, rep) by comparison with all entries; a task keeps k rows a query."""
+    few = queries.collect()
+    v = np.array([r["v"] for r in few], dtype=np.float64).reshape(-1, d)
+    shared = entries.sparkSession.sparkContext.broadcast((v.astype(kind).tobytes(), np.array([r["rep"] for r in few], dtype=np.int64)))
+
+    def run(batches):
+        packed, ids = shared.value
+        held = None
+        for batch in batches:
+            lists = batch.column(1)
+            many = np.diff(lists.offsets.to_numpy())
+            left = pd.DataFrame({"vectors": [packed], "ids": [ids], "bounds": [np.full(len(ids), -np.inf)]})
+            right = pd.DataFrame({"vectors": [_matrix(batch.column(0), d).astype(kind).tobytes()], "ids": [lists.flatten().to_numpy()], "many": [many]})
+            found = _scan(left, right, k, d, kind)
+            held = found if held is None else pd.concat([held, found], ignore_index=True)
+            held = held.iloc[_best(*(held[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)]
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+
+    return released(materialize(_top(entries.select("v", "ids").mapInArrow(run, _FOUND), k), "ann-measured"), shared)
+
+
+def _recall(exact: DataFrame, best: DataFrame) -> float:
+    """The share of the exact answers, a query itself apart, that best has."""
+    ids = lambda column: F.array_remove(F.transform(column, lambda b: b["vec_id"]), F.col("query_id"))
+    both = exact.select("query_id", ids("best").alias("want")).join(best.select("query_id", ids("best").alias("got")), "query_id", "left")
+    hits, all_ = both.agg(F.sum(F.coalesce(F.size(F.array_intersect("want", "got")), F.lit(0))), F.sum(F.size("want"))).first()
+    return hits / all_ if all_ else 1.0
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int | None = None, vec_id: str = "vec_id", vector: str = "embedding", seed: int = SEED, recall: float = RECALL
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k nearest vectors that the windows find for each query, nearest first, ties to the smaller id.
 
     queries: rows of the same columns. Nearness is the inner product in double precision of the vectors as they are; a query's own id is
     no answer. Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors
-    of another length than the smallest id's. Of rows with the same id one counts, that with the smallest vector. With fewer than k
-    candidates all are returned; no usable vector or query gives no rows. Other columns do not matter.
+    of another length than most have (the shorter, if two are as frequent). Of rows with the same id one counts, that with the smallest vector. With fewer
+    than k candidates all are returned; no usable vector or query gives no rows. Other columns do not matter.
 
-    Recall falls with how little the vectors' directions have in common with each other's, and with their number: on directions without any
-    structure (the hardest case) 32 orderings find 0.98 of the 20 nearest of 50,000 vectors, 0.92 of 200,000, 0.86 of 500,000; more orderings find more.
+    Rounds of orderings go on until `recall` of the nearest are found for MEASURED queries, or for all if there are fewer; they are chosen by a hash.
+    With `orderings` there are at most so many, and no exact round follows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
-    first = rows.agg(F.min(F.struct("vec_id", F.size("v").alias("d")))).first()[0]
-    if first is None:
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, kind = first["d"], "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+    d, kind = common["d"], "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     entries = materialize(distinct_vectors(one_each(rows.filter(F.size("v") == d)), k + 1), "ann-entries")
     asked = materialize(one_each(usable(queries, vec_id, vector).filter(F.size("v") == d)), "ann-queries")
     n, scale = entries.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))).cast("double")).first()
@@ -183,51 +234,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int
     longest = entries.agg(F.max(F.sqrt(square))).first()[0]
     block = max(MIN_BLOCK, int(BLOCK_SCALE * n**0.5))
     blocks = max(1, round(n / block))
-    frames, shifts = _frames(d, orderings, seed)
 
-    def keys_of(batches):
-        for batch in batches:
-            keys = curve_keys(_matrix(batch.column(0), d), scale, longest, frames, shifts, False)
-            columns = [pa.array(np.tile(np.arange(orderings, dtype=np.int32), len(keys))), pa.array(keys.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, ["o", "key"])
+    def cuts_of(frames: np.ndarray, shifts: np.ndarray) -> list[np.ndarray]:
+        """The cuts between blocks: quantiles of each ordering's keys, sqrt(n) / BLOCK_SCALE numbers each."""
+        if blocks == 1:
+            return [np.zeros(0, np.int64)] * len(frames)
 
-    # the cuts between blocks: quantiles of each ordering's keys, orderings x sqrt(n) / BLOCK_SCALE numbers
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)]) if blocks > 1 else F.array(F.lit(1.0))
-    quantiles = entries.select("v").mapInArrow(keys_of, "o int, key long").groupBy("o").agg(F.percentile_approx("key", shares, max(10_000, 8 * blocks)).alias("cuts"))
-    cuts = {r.o: np.unique(np.array(r.cuts)) for r in quantiles.collect()} if blocks > 1 else {}
-    shared = spark.sparkContext.broadcast((frames, shifts, [cuts.get(o, np.zeros(0, np.int64)) for o in range(orderings)]))
+        def keys_of(batches):
+            for batch in batches:
+                keys = curve_keys(_matrix(batch.column(0), d), scale, longest, frames, shifts, False)
+                columns = [pa.array(np.tile(np.arange(len(frames), dtype=np.int32), len(keys))), pa.array(keys.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["o", "key"])
+
+        shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+        quantiles = entries.select("v").mapInArrow(keys_of, "o int, key long").groupBy("o").agg(F.percentile_approx("key", shares, max(10_000, 8 * blocks)).alias("cuts"))
+        cuts = {r.o: np.unique(np.array(r.cuts)) for r in quantiles.collect()}
+        return [cuts[o] for o in range(len(frames))]
 
-    def dealt(rows_: DataFrame, query: bool, chosen: range) -> DataFrame:
+    def dealt(rows_: DataFrame, query: bool, shared, reach: int) -> DataFrame:
         """Packed rows: ordering, block and the vectors of a batch that belong there, with their ids. Queries go to the blocks beside theirs, too."""
 
         def run(batches):
-            frames_, shifts_, cuts_ = shared.value
-            for batch in batches:
+            frames, shifts, cuts = shared.value
+            # a slice's packed rows stay small however many blocks a query goes to
+            slices = (b.slice(i, step) for b in batches for step in [max(1, 30_000 // (2 * reach + 1)) if query else max(1, b.num_rows)] for i in range(0, b.num_rows, step))
+            for batch in slices:
                 v = _matrix(batch.column(0), d)
-                keys = curve_keys(v, scale, longest, frames_[chosen.start : chosen.stop], shifts_[chosen.start : chosen.stop], query)
-                packed = v.astype(kind)
+                keys = curve_keys(v, scale, longest, frames, shifts, query)
                 lists = batch.column(1)
                 many = np.ones(len(v), np.int64) if query else np.diff(lists.offsets.to_numpy())
                 ids = lists.to_numpy() if query else lists.flatten().to_numpy()
-                at = np.cumsum(many) - many
-                bounds = batch.column(2).to_numpy() if query else None
+                bounds = batch.column(2).to_numpy() if query else many
                 out: list[tuple] = []
-                for column, o in enumerate(chosen):
-                    own = np.searchsorted(cuts_[o], keys[:, column], "right")
+                for o in range(len(frames)):
+                    own = np.searchsorted(cuts[o], keys[:, o], "right")
                     member = np.arange(len(v))
                     if query:
-                        own, member = np.concatenate([own - 1, own, own + 1]), np.tile(member, 3)
-                        inside = (own >= 0) & (own <= len(cuts_[o]))
+                        own, member = np.concatenate([own + step for step in range(-reach, reach + 1)]), np.tile(member, 2 * reach + 1)
+                        inside = (own >= 0) & (own <= len(cuts[o]))
                         own, member = own[inside], member[inside]
-                    if not len(own):
-                        continue
-                    order = np.argsort(own, kind="stable")
-                    own, member = own[order], member[order]
-                    edges = np.flatnonzero(np.diff(own)) + 1
-                    for r, part in zip(own[np.concatenate([[0], edges])].tolist(), np.split(member, edges), strict=True):
-                        size = many[part]
-                        all_ids = ids[np.repeat(at[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                        out.append((o, r, packed[part].tobytes(), all_ids, bounds[part] if query else size))
+                    out += [(o, r, packed, some, bounds[part]) for r, packed, some, part in _pack(v, kind, member, own, many, ids)] if len(own) else []
                 if out:
                     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64() if query else pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -239,11 +285,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int
     asked_once = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("rep")), "ann-asked")
     groups = asked.join(asked_once, "v").select("vec_id", "rep") if asked.count() > asked_once.count() else asked.select("vec_id", F.col("vec_id").alias("rep"))
 
-    def searched(bounded: DataFrame, chosen: range) -> DataFrame:
-        left = dealt(bounded.select("v", "rep", "bound"), True, chosen)
+    def searched(bounded: DataFrame, chosen: range, reach: int = 1) -> DataFrame:
+        frames, shifts = _frames(d, chosen, seed)
+        shared = spark.sparkContext.broadcast((frames, shifts, cuts_of(frames, shifts)))
+        left = dealt(bounded.select("v", "rep", "bound"), True, shared, reach)
         crowds = left.groupBy("o", "r").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") > CROWD * block)
         crowds = materialize(crowds.select("o", "r", F.ceil(F.col("n") / (CROWD * block)).cast("int").alias("tasks")), "ann-crowds")
-        right = dealt(entries.select("v", "ids"), False, chosen)
+        right = dealt(entries.select("v", "ids"), False, shared, reach)
         if crowds.limit(1).count():  # only the packed rows of such blocks are dealt out and copied
             tasks = F.coalesce("tasks", F.lit(1))
             left = left.join(small(crowds), ["o", "r"], "left").withColumn("g", F.pmod(F.xxhash64("ids"), tasks).cast("int")).drop("tasks")
@@ -252,17 +300,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, orderings: int
             left, right = left.withColumn("g", F.lit(0)), right.withColumn("g", F.lit(0))
         by = ["o", "r", "g"]
         scan = left.groupBy(*by).cogroup(right.groupBy(*by))
-        return materialize(scan.applyInPandas(lambda a, b: _scan(a, b, k + 1, d, kind), _FOUND), "ann-found")
+        return released(materialize(scan.applyInPandas(lambda a, b: _scan(a, b, k + 1, d, kind), _FOUND), "ann-found"), shared)
 
-    middle = min(FIRST, orderings)
     lowest = F.lit(float("-inf"))
-    found = searched(asked_once.withColumn("bound", lowest), range(middle))
-    if middle < orderings:
-        bounds = _top(found, k + 1).select(F.col("query_id").alias("rep"), F.when(F.size("best") > k, -F.element_at("best", -1)["s"]).alias("bound"))
+    done = FIRST if orderings is None else min(FIRST, orderings)
+    best = materialize(_top(searched(asked_once.withColumn("bound", lowest), range(done)), k + 1), "ann-best")
+    exact = None
+    some = blocks > 2 and bool(asked_once.limit(1).count())
+    while some and (orderings is None or done < orderings):
+        if exact is None:
+            exact = _exact(entries, asked_once.orderBy(F.xxhash64("rep"), "rep").limit(MEASURED), k + 1, d, kind)
+        found = _recall(exact, best)
+        if found >= recall:
+            break
+        # an ordering finds a neighbour with about the same probability as any other
+        one = 1 - (1 - found) ** (1 / done)
+        need = np.log(max(1 - recall, 1e-4)) / np.log1p(-max(one, 1e-6))
+        total = max(done + 1, int(np.ceil(need)))
+        every = orderings is None and total > LIMIT
+        total = done + 1 if every else min(total, done + ROUND, orderings or total)
+        bounds = best.select(F.col("query_id").alias("rep"), F.when(F.size("best") > k, -F.element_at("best", -1)["s"]).alias("bound"))
         bounded = asked_once.join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", lowest))
-        found = found.unionByName(searched(bounded, range(middle, orderings)))
-    best = _top(found, k + 1)
+        more = searched(bounded, range(done, total), blocks if every else 1)
+        before = best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", (-F.col("b.s")).alias("score"))
+        best = materialize(_top(before.unionByName(more), k + 1), "ann-best")
+        if every:
+            break
+        done = total
     rows = groups.join(best, groups["rep"] == best["query_id"]).select(F.col("vec_id").alias("own"), F.filter("best", lambda b: b["vec_id"] != F.col("own")).alias("best"))
     rows = rows.select("own", F.posexplode(F.slice("best", 1, k)).alias("rank", "b"))
     out = rows.select(F.col("own").alias("query_id"), (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
-    return released(materialize(out, "ann-answers"), shared)
+    return materialize(out, "ann-answers")

@@ -1,7 +1,7 @@
 """Neighbours against brute force: exact answers, the windows' recall, ties and vectors that take no part."""
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from docketspark.llm import ann
 from docketspark.llm.queries import op7_ann
@@ -17,6 +17,11 @@ def brute(rows, queries, k):
     return out
 
 
+def brute_with_self(rows, queries, k):
+    """As brute(), a query's own id among the answers."""
+    return {q: brute(rows, [(-1, v)], k)[-1] for q, v in queries}
+
+
 def answers(frame):
     out = {}
     for r in sorted(frame.collect(), key=lambda r: (r.query_id, r.rank)):
@@ -58,6 +63,41 @@ def test_recall_with_many_blocks(spark, monkeypatch):
     assert recall[4] < recall[32] and recall[32] > 0.9
 
 
+def test_rounds_go_on_until_the_recall_is_reached(spark, monkeypatch):
+    """All 100 queries are measured here, so the recall is no estimate."""
+    monkeypatch.setattr(ann, "MIN_BLOCK", 16)
+    monkeypatch.setattr(ann, "BLOCK_SCALE", 0.9)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    queries = vectors.filter("vec_id % 20 = 0")
+    recall = {share: recall_of(answers(ann.nearest(vectors, queries, recall=share)), want) for share in (0.5, 0.95)}
+    assert 0.5 <= recall[0.5] < 0.95 <= recall[0.95]
+    monkeypatch.setattr(ann, "LIMIT", 8)  # more orderings than that would be needed: all blocks are searched
+    assert answers(ann.nearest(vectors, queries)) == want
+
+
+def test_recall_is_measured_by_exact_answers(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.standard_normal((400, 8)), 1))]
+    frame = spark.createDataFrame(rows + [(1000, rows[0][1])], "vec_id long, embedding array<double>")
+    entries = ann.distinct_vectors(ann.one_each(ann.usable(frame)), 6)
+    asked = ann.usable(frame).filter("vec_id % 100 = 0 and vec_id < 1000").select("v", F.col("vec_id").alias("rep"))
+    exact = ann._exact(entries, asked, 6, 8, "<f8")
+    got = {r.query_id: [(b.vec_id, -b.s) for b in r.best] for r in exact.collect()}
+    assert got == brute_with_self(rows + [(1000, rows[0][1])], [rows[i] for i in (0, 100, 200, 300)], 6)
+    assert ann._recall(exact, exact) == 1
+    assert ann._recall(exact, exact.filter("query_id > 0")) < 0.8
+
+
+def test_an_odd_smallest_vector_empties_nothing(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((50, 4)), 1)]
+    vectors = spark.createDataFrame([(0, [1.0]), *rows], "vec_id long, embedding array<double>")
+    got = answers(ann.nearest(vectors, vectors.filter("vec_id % 10 = 0"), 5))
+    assert got == brute(rows, [r for r in rows if r[0] % 10 == 0], 5)
+
+
 def test_longest_inner_products_come_first(spark, monkeypatch):
     """Vectors of unequal lengths: the nearest by inner product are not those of the smallest angle."""
     monkeypatch.setattr(ann, "MIN_BLOCK", 32)
