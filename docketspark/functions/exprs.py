@@ -159,6 +159,15 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{WHITE_SPACE}]+|(?<![{WHITE_SPACE}])[{WHITE_SPACE}]+\z", "")
 
 
+#: Unicode's space separators, which trim() of the oracle removes (Spark's own removes U+0020 only).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def spaces_trimmed(text: Column) -> Column:
+    """text without space separators at its ends; line ends and tabs stay."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def null_if_blank_number(text: Column) -> Column:
     """Number of a text; null if missing, blank or no number."""
     return F.nullif(F.trim(text), F.lit("")).try_cast("double")

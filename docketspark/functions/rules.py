@@ -15,7 +15,7 @@ from docketspark.schema import GATE, GUESS_EXAMPLES, GUESS_SHAPE, MIN_FREQUENCY,
 
 def filled(text: Column) -> Column:
     """The trimmed text; null if nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(e.spaces_trimmed(text), F.lit(""))
 
 
 def accepts_inapplicable(na_allowed: Column, applicable: Column, evidence: Column, source: Column) -> Column:
@@ -34,7 +34,7 @@ def accepted_guesses(guess_allowed: Column, applicable: Column, confidence: Colu
         empty = [s == g for g in shapes] + [F.contains(s, g) | F.contains(g, s) for g in samples]
         return F.coalesce(guess != "", F.lit(False)) & ~reduce(lambda a, b: a | b, empty)
 
-    kept = F.slice(F.filter(F.transform(guesses, lambda g: F.trim(g)), says_something), 1, top)
+    kept = F.slice(F.filter(F.transform(guesses, lambda g: e.spaces_trimmed(g)), says_something), 1, top)
     return F.when(guess_allowed & applicable & (confidence < GATE) & guesses.isNotNull(), kept).otherwise(F.array().cast("array<string>"))
 
 
@@ -66,7 +66,7 @@ def shown_frequency(freq: Column, least: int = MIN_FREQUENCY) -> Column:
 
 def _explained(pairs: Column) -> Column:
     """The (term, plain) of a list, trimmed, where neither is blank; an empty list for none."""
-    trimmed = F.transform(pairs, lambda p: F.struct(F.trim(F.coalesce(p["term"], F.lit(""))).alias("term"), F.trim(F.coalesce(p["plain"], F.lit(""))).alias("plain")))
+    trimmed = F.transform(pairs, lambda p: F.struct(e.spaces_trimmed(F.coalesce(p["term"], F.lit(""))).alias("term"), e.spaces_trimmed(F.coalesce(p["plain"], F.lit(""))).alias("plain")))
     return F.filter(F.coalesce(trimmed, F.array().cast("array<struct<term:string,plain:string>>")), lambda p: (p["term"] != "") & (p["plain"] != ""))
 
 
@@ -84,14 +84,14 @@ def brief_concepts(pairs: Column, source: Column) -> Column:
 
 def tips(items: Column, least: int = MIN_FREQUENCY) -> Column:
     """The (text, freq) of a list whose text is not blank, trimmed, rare ones without their frequency; an empty list for none."""
-    some = F.filter(F.coalesce(items, F.array().cast("array<struct<text:string,freq:int>>")), lambda x: F.coalesce(F.trim(x["text"]) != "", F.lit(False)))
-    return F.transform(some, lambda x: F.struct(F.trim(x["text"]).alias("text"), shown_frequency(x["freq"], least).alias("freq")))
+    some = F.filter(F.coalesce(items, F.array().cast("array<struct<text:string,freq:int>>")), lambda x: F.coalesce(e.spaces_trimmed(x["text"]) != "", F.lit(False)))
+    return F.transform(some, lambda x: F.struct(e.spaces_trimmed(x["text"]).alias("text"), shown_frequency(x["freq"], least).alias("freq")))
 
 
 def keywords(items: Column) -> Column:
     """The (term, count) of a list whose term is not blank, trimmed; a missing count is 1; an empty list for none."""
-    some = F.filter(F.coalesce(items, F.array().cast("array<struct<term:string,count:int>>")), lambda x: F.coalesce(F.trim(x["term"]) != "", F.lit(False)))
-    return F.transform(some, lambda x: F.struct(F.trim(x["term"]).alias("term"), F.coalesce(x["count"], F.lit(1)).alias("count")))
+    some = F.filter(F.coalesce(items, F.array().cast("array<struct<term:string,count:int>>")), lambda x: F.coalesce(e.spaces_trimmed(x["term"]) != "", F.lit(False)))
+    return F.transform(some, lambda x: F.struct(e.spaces_trimmed(x["term"]).alias("term"), F.coalesce(x["count"], F.lit(1)).alias("count")))
 
 
 def whitelisted(tags: Column, allowed: Sequence[str]) -> Column:

@@ -32,6 +32,13 @@ def test_rounding_and_money(spark):
     assert _one(spark, e.phone_digits(F.lit("+82-10-1234-5678"))) == "01012345678"
 
 
+def test_lines_keep_their_digits(spark):
+    """Characters that are a line's own number stay at its ends; space separators of any kind go, and a missing text has no lines."""
+    assert _one(spark, x.split_lines(F.lit("0 ends in 490\n\u00a01 of 11\u3000 \n \u2003\n\tx 33"))) == ["0 ends in 490", "1 of 11", "\tx 33"]
+    assert _one(spark, x.split_lines(F.lit(""))) == []
+    assert _one(spark, x.split_lines(F.lit(None).cast("string"))) is None
+
+
 def _cleaned(md):
     """Headings that nothing filled follows go, round by round, until none does."""
     rank = lambda line: next((r for r, p in ((0, r"\[.*\]$"), (2, r"[0-9]+-[0-9]+\.\s"), (1, r"[0-9]+\.\s")) if re.match(p, line.strip())), None)
