@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -149,6 +150,11 @@ def unwrap_json(text: Column) -> Column:
     return F.when(F.try_parse_json(inner).isNotNull() & (F.trim(inner) != ""), inner)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once a row, however often then() and the lambdas in it use it."""
+    return F.element_at(F.transform(F.array(value), lambda v: then(v)), 1)
+
+
 def squash(text: Column) -> Column:
     """Lower case without white space and the punctuation of QUOTE_MARKS, for comparing quotes."""
     return F.lower(F.regexp_replace(text, f"[{WHITE_SPACE}{QUOTE_MARKS}]", ""))

@@ -20,8 +20,19 @@ def filled(text: Column) -> Column:
 
 def accepts_inapplicable(na_allowed: Column, applicable: Column, evidence: Column, source: Column) -> Column:
     """Whether a section may count as inapplicable: it can be, the answer says so, and its evidence of 6 characters or more stands in the source."""
-    said = na_allowed & ~F.coalesce(applicable, F.lit(True))
-    return F.coalesce(said, F.lit(False)) & x.grounded(F.coalesce(evidence, F.lit("")), source)
+    return inapplicable(na_allowed, applicable, x.grounded(F.coalesce(evidence, F.lit("")), source))
+
+
+def inapplicable(na_allowed: Column, applicable: Column, grounded: Column) -> Column:
+    """accepts_inapplicable() where it is known whether the evidence stands in the source."""
+    return F.coalesce(na_allowed & ~F.coalesce(applicable, F.lit(True)) & grounded, F.lit(False))
+
+
+def with_grounds(answers: Column, source: Column) -> Column:
+    """A list of answers (section, confidence, applicable, evidence, guess) with `grounded` in place of the evidence; the source is prepared once for all."""
+    names = ("section", "confidence", "applicable", "guess")
+    claimed = lambda a, said: F.when(~a["applicable"], x.stands_in(F.coalesce(a["evidence"], F.lit("")), said)).otherwise(False)
+    return e.once(e.squash(source), lambda said: F.transform(answers, lambda a: F.struct(*[a[n].alias(n) for n in names], claimed(a, said).alias("grounded"))))
 
 
 def accepted_guesses(guess_allowed: Column, applicable: Column, confidence: Column, guesses: Column, top: int = 3) -> Column:
@@ -72,14 +83,14 @@ def _explained(pairs: Column) -> Column:
 
 def brief_terms(pairs: Column, source: Column) -> Column:
     """Explanations of words that the source has, but for names of features; compared without white space and marks."""
-    said = e.squash(F.coalesce(source, F.lit("")))
-    return F.filter(_explained(pairs), lambda p: F.contains(said, e.squash(p["term"])) & ~F.contains(p["term"], F.lit(FEATURE)))
+    keep = lambda said: F.filter(_explained(pairs), lambda p: F.contains(said, e.squash(p["term"])) & ~F.contains(p["term"], F.lit(FEATURE)))
+    return e.once(e.squash(F.coalesce(source, F.lit(""))), keep)
 
 
 def brief_concepts(pairs: Column, source: Column) -> Column:
     """Explanations of what the source does not mention."""
-    said = e.squash(F.coalesce(source, F.lit("")))
-    return F.filter(_explained(pairs), lambda p: ~F.contains(said, e.squash(p["term"])))
+    keep = lambda said: F.filter(_explained(pairs), lambda p: ~F.contains(said, e.squash(p["term"])))
+    return e.once(e.squash(F.coalesce(source, F.lit(""))), keep)
 
 
 def tips(items: Column, least: int = MIN_FREQUENCY) -> Column:

@@ -52,6 +52,15 @@ def test_all_sections_are_scored(spark):
     assert all(r.applicable and r.confidence == 0 for (i, _), r in rows.items() if i == 2)
 
 
+def test_sources_are_prepared_once(spark):
+    """The patterns over a source do not grow with the pairs that are looked up in it."""
+    pairs = F.array(*[F.struct(F.lit(f"t{i}").alias("term"), F.lit("p").alias("plain")) for i in range(3)])
+    row = one(spark, terms=rules.brief_terms(pairs, F.lit("T1 t 2")), concepts=rules.brief_concepts(pairs, F.lit("T1 t 2")))
+    assert [p.term for p in row["terms"]] == ["t1", "t2"] and [p.term for p in row["concepts"]] == ["t0"]
+    plan = spark.range(1).select(rules.brief_terms(pairs, F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("regexp_replace(coalesce(cast(id") < plan.index("filter(")
+
+
 def test_quantities_labels_and_lists(spark):
     r = one(
         spark, q=F.array(*[rules.quantity(F.lit(v).cast("double")) for v in (2.5, 1.4, -3.0, None)]), k=rules.project_type(F.lit("앱")), p=rules.period(F.lit("  ")), w=rules.question_purpose(F.lit("x")),
