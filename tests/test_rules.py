@@ -52,6 +52,17 @@ def test_all_sections_are_scored(spark):
     assert all(r.applicable and r.confidence == 0 for (i, _), r in rows.items() if i == 2)
 
 
+def test_scored_texts_move_once(spark):
+    """Repeated keys meet every answer as a join would, a null key none, and the rows per section carry no text."""
+    answers = spark.createDataFrame([(1, "admin", 70.0, False, "no admin page", ["x y"]), (1, "admin", 30.0, None, None, None), (None, "admin", 9.0, False, "no admin page", None)], "id int, section string, confidence double, applicable boolean, evidence string, guess array<string>")
+    sources = spark.createDataFrame([(1, "We need no admin page."), (1, "else"), (None, "no admin page"), (2, None)], "id int, source string")
+    got = scoring.assembled(answers, sources, "id")
+    admin = sorted((str(r.id), r.confidence, r.applicable) for r in got.filter("section = 'admin'").collect())
+    assert admin == [("1", 30, True), ("1", 30, True), ("1", 70, False), ("1", 70, True), ("2", 0, True), ("None", 0, True)] and got.count() == 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "source#" not in plan[: plan.index("Join Cross")] and "source#" in plan
+
+
 def test_sources_are_prepared_once(spark):
     """The patterns over a source do not grow with the pairs that are looked up in it."""
     pairs = F.array(*[F.struct(F.lit(f"t{i}").alias("term"), F.lit("p").alias("plain")) for i in range(3)])
