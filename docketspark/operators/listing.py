@@ -26,7 +26,8 @@ class CaseQuery:
 
 
 #: Fields of a search and their weights; the body weighs least.
-WEIGHTS = (("title", 10), (("category", "tech"), 5), ("client_name", 3), ("posting_raw", 1))
+WEIGHTS = (("title", 10), (("category", "tech"), 5), ("client_name", 3))
+BODY_WEIGHT = 1
 SEARCHED = tuple(f for fields, _ in WEIGHTS for f in ((fields,) if isinstance(fields, str) else fields))
 #: Sessions that a list shows.
 SESSIONS, PREVIEW = 100, 160
@@ -55,12 +56,18 @@ def status_filter(rows: DataFrame, timeline: DataFrame, status: str | None) -> D
     return rows.filter(F.col("status") == status)
 
 
-def with_body(rows: DataFrame, postings: DataFrame) -> DataFrame:
-    return rows.join(postings.select(F.col("project_id").alias("body_id"), "posting_raw"), F.col("id") == F.col("body_id"), "left").drop("body_id")
+def with_body_hits(rows: DataFrame, links: DataFrame, texts: DataFrame, tokens: list[str]) -> DataFrame:
+    """rows with `body_hits`, for each search word whether the case's body holds it; null without a body.
 
+    The words are looked for where the texts are read, once a text; only the flags move. links: project_id, text_id; texts: text_id, posting_raw.
+    """
+    hits = F.array(*[e.matches([F.col("posting_raw")], t) for t in tokens])
+    found = links.join(texts.select("text_id", hits.alias("body_hits")), "text_id").select(F.col("project_id").alias("body_id"), "body_hits")
+    return rows.join(found, F.col("id") == F.col("body_id"), "left").drop("body_id")
 
-def filtered(projects: DataFrame, timeline: DataFrame, postings: DataFrame, q: CaseQuery, as_of: Column, include_status: bool = True) -> DataFrame:
-    """Live cases that q describes, with `score` (0 without search words)."""
+
+def filtered(projects: DataFrame, timeline: DataFrame, bodies: tuple[DataFrame, DataFrame], q: CaseQuery, as_of: Column, include_status: bool = True) -> DataFrame:
+    """Live cases that q describes, with `score` (0 without search words). bodies: links and texts, as with_body_hits() takes them."""
     tokens = e.tokens_of(q.text)
     conditions = [e.live()]
     if q.manager:
@@ -73,10 +80,13 @@ def filtered(projects: DataFrame, timeline: DataFrame, postings: DataFrame, q: C
     rows = status_filter(rows, timeline, q.status) if include_status else rows
     if not tokens:
         return rows.withColumn("score", F.lit(0))
-    rows = with_body(rows, postings)
+    rows = with_body_hits(rows, *bodies, tokens)
+    body = [F.coalesce(F.col("body_hits")[i], F.lit(False)) for i in range(len(tokens))]
     fields = [F.col("id").cast("string"), *[F.col(f) for f in SEARCHED]]
-    hit = reduce(lambda a, b: a & b, [e.matches(fields, t) for t in tokens])
-    return rows.filter(hit).withColumn("score", e.relevance([(F.col(f) if isinstance(f, str) else F.concat_ws("\n", *f), w) for f, w in WEIGHTS], tokens)).drop("posting_raw")
+    hit = reduce(lambda a, b: a & b, [e.matches(fields, t) | b for t, b in zip(tokens, body, strict=True)])
+    in_body = reduce(lambda a, b: a + b, [F.when(b, BODY_WEIGHT).otherwise(0) for b in body])
+    score = e.relevance([(F.col(f) if isinstance(f, str) else F.concat_ws("\n", *f), w) for f, w in WEIGHTS], tokens)
+    return rows.filter(hit).withColumn("score", score + in_body).drop("body_hits")
 
 
 def ordering() -> list[Column]:

@@ -17,7 +17,7 @@ MEETINGS = "(SELECT project_id FROM timeline WHERE source = 'meeting')"
 
 
 def _list(t, q: CaseQuery):
-    return m.filtered(t.projects, t.timeline, t.postings, q, F.expr(AS_OF))
+    return m.filtered(t.projects, t.timeline, t.bodies, q, F.expr(AS_OF))
 
 
 def core_sql(where: str) -> str:

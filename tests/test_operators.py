@@ -39,6 +39,15 @@ def test_lines_keep_their_digits(spark):
     assert _one(spark, x.split_lines(F.lit(None).cast("string"))) is None
 
 
+def test_search_moves_no_texts(spark, sf_dir):
+    """Words are looked for where the texts are read: behind the scan's projection only flags of the texts go on."""
+    t = Tables(spark, sf_dir)
+    found = listing.filtered(t.projects, t.timeline, t.bodies, listing.CaseQuery(text="the BUILD"), F.current_timestamp())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line for line in plan if "text#" in line and "Project [" not in line and "Relation [" not in line] == []
+    assert sum("text#" in line for line in plan if "Project [" in line) == 1
+
+
 def _cleaned(md):
     """Headings that nothing filled follows go, round by round, until none does."""
     rank = lambda line: next((r for r, p in ((0, r"\[.*\]$"), (2, r"[0-9]+-[0-9]+\.\s"), (1, r"[0-9]+\.\s")) if re.match(p, line.strip())), None)
