@@ -160,13 +160,15 @@ def squash(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"[{WHITE_SPACE}{QUOTE_MARKS}]", ""))
 
 
-def trimmed(text: Column) -> Column:
-    """text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"\A[{WHITE_SPACE}]+|(?<![{WHITE_SPACE}])[{WHITE_SPACE}]+\z", "")
-
-
 #: Unicode's space separators, which trim() of the oracle removes (Spark's own removes U+0020 only).
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: The characters of WHITE_SPACE.
+BLANKS = "\t\n\x0b\f\r\u2028\u2029\ufeff" + SPACES
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def spaces_trimmed(text: Column) -> Column:

@@ -71,6 +71,13 @@ def test_clean_posting_equals_rounds(spark):
         assert r.clean == want, texts[r.id][:200]
 
 
+def test_lines_of_postings_are_trimmed_once(spark):
+    """One trim per line however many kinds are tried, and one of the whole; white space of any kind goes at the ends."""
+    plan = spark.range(1).select(x.clean_posting(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("trim(") == 2 and r"\z" not in plan
+    assert _one(spark, x.clean_posting(F.lit("\ufeff\u2028[a]\u3000\n\u00a01.\u2003b\n \t\nc\n- 해당  없음 .\x0b\n2. d\n미정\n미정 e\u205f"))) == "[a]\u3000\n\u00a01.\u2003b\n \t\nc\n2. d\n미정 e"
+
+
 def test_clean_posting(spark):
     md = "[개요]\n1. 목적\n- 쇼핑몰\n2. 범위\n2-1. 화면\n- 미정\n2-2. 관리\n- 정보 없음.\n3. 연동\n- 외부 연동 없음\n[끝]\n"
     assert _one(spark, x.clean_posting(F.lit(md))) == "[개요]\n1. 목적\n- 쇼핑몰\n3. 연동\n- 외부 연동 없음"
