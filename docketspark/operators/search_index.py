@@ -6,10 +6,12 @@ holds more than a token's lists of a part. The index lies sorted by gram, so a s
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from docketspark.sources.snapshots import keep
 GRAM = 3
 #: Keys of a list's part, on average, for a gram that every text holds.
 PART_KEYS = 10_000
+#: Characters that are sorted at a time.
+PIECE_CHARS = 2_000_000
 
 
 def grams_of(text: str, n: int = GRAM) -> list[str]:
@@ -25,6 +29,27 @@ def grams_of(text: str, n: int = GRAM) -> list[str]:
     return sorted({text[i : i + n] for i in range(len(text) - n + 1)})
 
 
+def gram_owners(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a gram (three code points in one number) and the text that holds it, by gram and then by text."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    if len(chars) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = owner[: 1 - GRAM] == owner[GRAM - 1 :]
+    gram, owner = (chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[inside], owner[: 1 - GRAM][inside]
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])[: len(gram)]
+    return gram[new], owner[new]
+
+
+def gram_strings(grams: np.ndarray) -> list[str]:
+    """The texts of grams that gram_owners() has numbered."""
+    chars = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [chars[i : i + GRAM] for i in range(0, len(chars), GRAM)]
+
+
 def build(texts: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """gram, part, keys (sorted, distinct) over the lower-cased texts; written to the shared folder. Nulls, texts of fewer characters and null keys are in no list.
 
@@ -32,17 +57,23 @@ def build(texts: DataFrame, key: str, text: str, parts: int | None = None) -> Da
     """
     rows = texts.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("key is not null and text is not null")
     parts = parts or max(1, round(rows.count() / PART_KEYS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition("part")  # so that a task's texts share their parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                found = [grams_of(t) for t in some.column(1).to_pylist()]
-                owner = np.repeat(np.arange(some.num_rows), [len(g) for g in found])
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), pa.array([g for own in found for g in own], pa.string())], ["key", "gram"])
-
-    pairs = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, gram string")
-    lists = pairs.groupBy("gram", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+            batch = batch.sort_by("part")
+            sizes = pc.utf8_length(batch.column(1)).to_numpy()
+            piece = np.cumsum(sizes) // PIECE_CHARS
+            for some in (batch.slice(a, b - a) for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows])):
+                gram, owner = gram_owners(some.column(1).to_pylist())
+                part = some.column(2).to_numpy()[owner]
+                first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(first, len(gram)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, some.column(0).take(pa.array(owner)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram_strings(gram[first]), pa.string()), pa.array(part[first]), lists], ["gram", "part", "some"])
+
+    found = dealt.mapInArrow(run, f"gram string, part int, some array<{rows.schema['key'].dataType.simpleString()}>")
+    lists = found.groupBy("gram", "part").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("some")))).alias("keys"))
     return keep(lists.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part"), "gram-index")
 
 

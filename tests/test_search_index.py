@@ -41,3 +41,12 @@ def test_tokens_of_the_texts(spark, sf_dir):
     plan = search_index.candidates(index, "tion")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram" in plan
     assert index.filter(F.size("keys") > 0).groupBy("gram").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 4
+
+
+def test_grams_of_many_texts_at_once():
+    rng = random.Random(5)
+    texts = ["", "ab", "a", *("".join(rng.choice("ab \U0001f600관") for _ in range(rng.randrange(60))) for _ in range(200)), "\U0010ffff\0x"]
+    gram, owner = search_index.gram_owners(texts)
+    got = list(zip(search_index.gram_strings(gram), owner.tolist(), strict=True))
+    assert len(got) == len(set(got)) and set(got) == {(g, i) for i, t in enumerate(texts) for g in search_index.grams_of(t)}
+    assert [len(x) for x in search_index.gram_owners([])] == [len(x) for x in search_index.gram_owners(["a", "bc"])] == [0, 0]
