@@ -55,6 +55,24 @@ def fingerprint_bytes(texts: list[bytes], shingle: int = SHINGLE, seed: int = SE
     return out
 
 
+_spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def majority_bits(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of 64-bit hashes, none empty, the bits that are set in over half of them."""
+    sizes = np.diff(np.append(starts, len(values)))
+    # a byte counts to 255, so runs are counted in pieces of that length
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(starts, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for byte in range(8):
+        counts = np.add.reduceat(_spread[(values >> np.uint64(8 * byte)) & np.uint64(255)], at).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(counts.astype(np.int64), first, axis=0)
+        out |= np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").ravel().astype(np.uint64) << np.uint64(8 * byte)
+    return out
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, seed: int = SEED, out: str = "fp") -> DataFrame:
     """The columns `keep` and `out`, the fingerprint's 64 bits as a long. Null text counts as empty; no words: 0.
 
