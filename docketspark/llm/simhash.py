@@ -135,13 +135,14 @@ def _close_in_key(values: np.ndarray, core: np.ndarray, distance: int) -> list[t
     return links
 
 
-def in_tiles(members: DataFrame, by: list[str], member: str, chunk: int) -> DataFrame:
+def in_tiles(members: DataFrame, by: list[str], member: str, chunk: int, weight: Column | None = None) -> DataFrame:
     """members (with a boolean `core`) of the groups that have any outside the core, dealt into tiles: with x and y, the tile's name in its group.
 
-    Parts of about `chunk` members: each part of those apart meets each part of the core, and each other part of those apart; so no tile holds
+    Parts of about `chunk` members, or of members of that weight together: each part of those apart meets each part of the core, and each other part of those apart; so no tile holds
     more than two parts, and every pair but those within the core meets in one.
     """
-    crowd = members.groupBy(*by).agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_apart")).filter("n_apart > 0 and n_core + n_apart > 1")
+    total = lambda c: F.sum(F.when(c, F.lit(1) if weight is None else weight).otherwise(0))
+    crowd = members.groupBy(*by).agg(total(F.col("core")).alias("n_core"), total(~F.col("core")).alias("n_apart"), F.count("*").alias("n_all")).filter("n_apart > 0 and n_all > 1").drop("n_all")
     parts = lambda c: F.ceil(F.col(c) / chunk).cast("int")
     own = lambda c: F.pmod(F.xxhash64(member), parts(c)).cast("int")
     upto = lambda c: F.when(parts(c) > 0, F.sequence(F.lit(0), parts(c) - 1)).otherwise(F.array().cast("array<int>"))
